@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import type_of
 
@@ -39,7 +40,7 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _count(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
 
