@@ -14,7 +14,8 @@ Defined results
 ---------------
 * null text, empty text, or a text without letters: language null, score null,
   0 words, not accepted.
-* ties between languages: the alphabetically first language wins, margin 0.
+* ties between languages: the alphabetically first language wins, margin 0, not accepted, as
+  languages within ``min_margin`` of each other cannot be told apart.
 * one language in the model: margin null.
 * repeated rows: each gets its own (equal) result row.
 * an empty table gives an empty result; fitting on no labelled rows raises ValueError.
@@ -176,7 +177,7 @@ def score_texts(model: BackoffModel, texts: list[str | None], max_score: float,
 SCHEMA = "language string, score double, margin double, n_words long, accepted boolean"
 
 
-def verdict(docs: DataFrame, model: BackoffModel, text_col: str = "text", max_score: float = 6.0, min_margin: float = 0.0, languages: list[str] | None = None) -> Column:
+def verdict(docs: DataFrame, model: BackoffModel, text_col: str = "text", max_score: float = 6.0, min_margin: float = 0.15, languages: list[str] | None = None) -> Column:
     """The verdict on the text as a struct column; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
