@@ -73,24 +73,29 @@ def _count_of(array: Column, item: str) -> Column:
     return F.size(F.filter(array, lambda x: x == item))
 
 
-def _counted(text_col: str, terms: list[str]) -> tuple[Column, list[Column], Column]:
-    """The tokens, how often each term is among them, and how many there are."""
-    t = F.col("__tokens")
-    return tokens(F.col(text_col)), [_count_of(t, w) for w in terms], F.greatest(F.size(t), F.lit(0))
+def _hits(docs: DataFrame, keep: list[Column], text_col: str, terms: list[str]) -> DataFrame:
+    """``keep``, __dl: the number of tokens, and __hits: those of them that are among the terms.
+
+    The tokens pass through a generator of one row, below which no expression on them is
+    pushed: each text is tokenised once, however often its tokens are referred to.
+    """
+    once = docs.select(*keep, F.explode(F.array(tokens(F.col(text_col)))).alias("__tokens"))
+    hits = F.filter("__tokens", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+    return once.select(*keep, F.greatest(F.size("__tokens"), F.lit(0)).alias("__dl"), hits.alias("__hits"))
 
 
 def statistics(docs: DataFrame, terms: list[str], text_col: str = "text") -> Stats:
     """One pass over the texts; the result is one row with a number for each term."""
-    toks, _, length = _counted(text_col, terms)
-    t = F.col("__tokens")
+    rows = _hits(docs, [], text_col, terms)
+    totals = [F.count("*").alias("n"), F.coalesce(F.sum("__dl"), F.lit(0)).alias("total")]
     if len(terms) <= MOST_TERMS:
-        row = docs.select(toks.alias("__tokens")).agg(F.count("*").alias("n"), F.sum(length).alias("total"), *[F.count_if(F.array_contains(t, w)).alias(f"df{i}") for i, w in enumerate(terms)]).first()
+        row = rows.agg(*totals, *[F.count_if(F.array_contains("__hits", w)).alias(f"df{i}") for i, w in enumerate(terms)]).first()
         df = {w: row[f"df{i}"] for i, w in enumerate(terms)}
     else:
-        row = docs.select(toks.alias("__tokens")).agg(F.count("*").alias("n"), F.sum(length).alias("total")).first()
-        some = docs.select(F.explode(F.array_distinct(F.array_intersect(toks, F.lit(terms)))).alias("term"))
-        df = dict.fromkeys(terms, 0) | {r["term"]: r["df"] for r in some.groupBy("term").agg(F.count("*").alias("df")).collect()}
-    return Stats(row["n"], (row["total"] or 0) / max(row["n"], 1), df)
+        row = rows.agg(*totals).first()
+        some = rows.select(F.explode(F.array_distinct("__hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        df = dict.fromkeys(terms, 0) | {r["term"]: r["df"] for r in some.collect()}
+    return Stats(row["n"], row["total"] / max(row["n"], 1), df)
 
 
 def kept_terms(terms: Counter, stats: Stats, most: int = MOST_TERMS) -> list[str]:
@@ -113,12 +118,11 @@ def bm25(docs: DataFrame, query: str | list[str], id_col: str = "id", text_col:
         return docs.select(F.col(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
     # rows without any of the terms are passed over before they are tokenised
     near = docs.where(F.col(text_col).rlike("(?i)" + "|".join(keep)))
-    toks, counts, length = _counted(text_col, keep)
-    rows = near.select(F.col(id_col), toks.alias("__tokens")).select(F.col(id_col), length.alias("__dl"), *[c.alias(f"__tf{i}") for i, c in enumerate(counts)])
+    rows = _hits(near, [F.col(id_col)], text_col, keep).where(F.size("__hits") > 0)
     score, scale = F.lit(0.0), max(stats.mean_length, 1.0)
-    for i, w in enumerate(keep):
-        score = score + _term_score(F.col(f"__tf{i}"), F.col("__dl"), terms[w], stats.idf(w), k1, b, scale)
-    return rows.select(F.col(id_col), score.alias("score")).where("score > 0")
+    for w in keep:
+        score = score + _term_score(_count_of(F.col("__hits"), w), F.col("__dl"), terms[w], stats.idf(w), k1, b, scale)
+    return rows.select(F.col(id_col), score.alias("score"))
 
 
 def _term_score(tf: Column, dl: Column, qf: int, idf: float, k1: float, b: float, scale: float) -> Column:
