@@ -24,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,9 +38,13 @@ from .common import _BASE, mix64, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Words, and the same where no piece holds a line feed, which then stands alone.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Encoded words that are kept per worker between batches; a matter of speed alone.
-KEPT_WORDS = 200_000
+WORD_OR_FEED = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
+#: Encoded words that are kept per worker between slices; a matter of speed alone.
+KEPT_WORDS = 150_000
+#: Texts are encoded in slices of about so many characters, to bound a worker's memory.
+SLICE_CHARS = 1_000_000
 
 
 @dataclass
@@ -55,7 +60,43 @@ class Pieces:
     unknown_id: int
     texts: list[bytes]
     dummy_prefix: bool
-    memo: dict = None
+    word: re.Pattern = WORD
+    store: "Store" = None
+    bytes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+
+class Store:
+    """Encoded words: number by word; the ids of all words in one array, with starts and lengths beside."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 16, dtype=np.int32), 0
+        self.starts, self.sizes = np.empty(1 << 12, dtype=np.int64), np.empty(1 << 12, dtype=np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """words, their ids one after another, and how many each has."""
+        first, total = len(self.number), len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while first + len(words) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + total] = ids
+        self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(words)] = sizes
+        self.used += total
+        self.number.update(zip(words, range(first, first + len(words))))
+
+    def shrink(self, words: int) -> None:
+        """Beyond twice as many, forget all but the first ``words`` words, which are the common ones."""
+        if len(self.number) > 2 * words:
+            self.number = dict(itertools.islice(self.number.items(), words))
+            self.used = int(self.starts[words])
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenation of flat[start : start + size] of many spans."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
 def codes_of(words: list[str]) -> np.ndarray:
@@ -103,7 +144,7 @@ def build(normal: list[tuple[str, int, float]], texts: list[bytes], byte_ids: np
     keys = keys[order]
     if (keys[1:] == keys[:-1]).any():
         raise ValueError("two pieces have one hash")
-    return Pieces(keys, ids[order], scores[order], max(len(p) for p, _, _ in normal), float(scores.min()) - 10.0, byte_ids, unknown_id, texts, dummy_prefix)
+    return Pieces(keys, ids[order], scores[order], max(len(p) for p, _, _ in normal), float(scores.min()) - 10.0, byte_ids, unknown_id, texts, dummy_prefix, WORD if any("\n" in p for p, _, _ in normal) else WORD_OR_FEED)
 
 
 _INV = pow(_BASE, -1, 1 << 64)
@@ -114,43 +155,45 @@ def substring_keys(prefix: np.ndarray, start: int, end: int) -> np.ndarray:
     return mix64(raw + np.uint64(((end - start) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
 
 
-def viterbi(pieces: Pieces, words: list[str]) -> list[np.ndarray]:
-    """Ids of the best segmentation of each of the words, which have one length."""
+def viterbi(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The best segmentations of words of one length: all ids one after another, and how many each word has."""
     codes = codes_of(words)
     n, length = codes.shape
     prefix = rolling(codes)
-    best = np.full((n, length + 1), -np.inf)
-    best[:, 0] = 0.0
-    back = np.zeros((n, length + 1), dtype=np.int32)
-    piece = np.zeros((n, length + 1), dtype=np.int64)
+    best = np.full((length + 1, n), -np.inf)
+    best[0] = 0.0
+    back = np.zeros((length + 1, n), dtype=np.int32)
+    piece = np.zeros((length + 1, n), dtype=np.int32)
     last = len(pieces.keys) - 1
     for end in range(1, length + 1):
-        top, top_back, top_id = best[:, end - 1] + pieces.unknown, np.full(n, end - 1, np.int32), np.full(n, -1, np.int64)
+        top, top_back, top_id = best[end], back[end], piece[end]
+        top[:], top_back[:], top_id[:] = best[end - 1] + pieces.unknown, end - 1, -1
         for start in range(end - 1, max(-1, end - 1 - pieces.longest), -1):
             keys = substring_keys(prefix, start, end)
             at = np.minimum(np.searchsorted(pieces.keys, keys), last)
-            score = np.where(pieces.keys[at] == keys, best[:, start] + pieces.scores[at], -np.inf)
-            better = score >= top
-            better &= score > -np.inf
-            np.copyto(top, score, where=better)
-            np.copyto(top_back, np.int32(start), where=better)
-            np.copyto(top_id, pieces.ids[at], where=better)
-        best[:, end], back[:, end], piece[:, end] = top, top_back, top_id
+            hits = np.flatnonzero(pieces.keys[at] == keys)
+            if len(hits):
+                at = at[hits]
+                score = best[start, hits] + pieces.scores[at]
+                better = score >= top[hits]
+                hits, at = hits[better], at[better]
+                top[hits], top_back[hits], top_id[hits] = score[better], start, pieces.ids[at]
     # backwards, all words together; ids fill a table from the right
-    spots = np.full((n, length), -2, dtype=np.int64)
+    spots = np.full((n, length), -2, dtype=np.int32)
     at = np.full(n, length, dtype=np.int64)
     rows = np.arange(n)
     while len(rows):
         here = at[rows]
-        spots[rows, here - 1] = piece[rows, here]
-        at[rows] = back[rows, here]
+        spots[rows, here - 1] = piece[here, rows]
+        at[rows] = back[here, rows]
         rows = rows[at[rows] > 0]
-    out = []
-    for row, word in enumerate(words):
-        ids = spots[row]
-        ids = ids[ids != -2] if not (ids == -1).any() else _with_bytes(pieces, ids, word)
-        out.append(ids.astype(np.int32))
-    return out
+    unknown = np.flatnonzero((spots == -1).any(axis=1))
+    if not len(unknown):
+        return spots[spots != -2], (spots != -2).sum(axis=1)
+    each = [row[row != -2] for row in spots]
+    for row in unknown:
+        each[row] = _with_bytes(pieces, spots[row], words[row])
+    return np.concatenate(each).astype(np.int32), np.array([len(x) for x in each], dtype=np.int64)
 
 
 def _with_bytes(pieces: Pieces, spots: np.ndarray, word: str) -> np.ndarray:
@@ -163,36 +206,78 @@ def _with_bytes(pieces: Pieces, spots: np.ndarray, word: str) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about SLICE_CHARS characters each; a longer text is a slice of its own."""
+    start = size = 0
+    for at, text in enumerate(texts):
+        size += len(text) if text else 0
+        if size >= SLICE_CHARS:
+            yield start, at + 1
+            start, size = at + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _encode_slice(pieces: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts one after another, and how many each text has."""
+    pieces.store = pieces.store or Store()
+    pieces.store.shrink(KEPT_WORDS)
+    store, start = pieces.store, SPACE if pieces.dummy_prefix else ""
+    words: list[str] = []
+    counts = np.zeros(len(texts) + 1, dtype=np.int64)
+    for at, text in enumerate(texts):
+        if text:
+            words += pieces.word.findall(start + text.replace(" ", SPACE))
+        counts[at + 1] = len(words)
+    by_length: dict[int, list[str]] = {}
+    for w in set(words).difference(store.number):
+        by_length.setdefault(len(w), []).append(w)
+    for length, new in by_length.items():
+        new.sort()
+        step = max(1, 500_000 // (length + 1))
+        for at in range(0, len(new), step):
+            store.add(new[at : at + step], *viterbi(pieces, new[at : at + step]))
+    numbers = np.fromiter(map(store.number.__getitem__, words), dtype=np.int64, count=len(words))
+    sizes = store.sizes[numbers]
+    ends = np.concatenate([[0], np.cumsum(sizes)])[counts]
+    return gather(store.flat, store.starts[numbers], sizes), np.diff(ends)
+
+
 def encode_texts(pieces: Pieces, texts: list[str | None]) -> list[np.ndarray | None]:
     """Ids of each text."""
-    if pieces.memo is None or len(pieces.memo) > KEPT_WORDS:
-        pieces.memo = {}
-    memo = pieces.memo
-    per_text, missing = [], {}
-    for text in texts:
-        if not text:
-            per_text.append(None if text is None else [])
-            continue
-        words = WORD.findall((SPACE if pieces.dummy_prefix else "") + text.replace(" ", SPACE))
-        per_text.append(words)
-        for w in words:
-            if w not in memo:
-                missing.setdefault(len(w), set()).add(w)
-    for length, words in missing.items():
-        words = sorted(words)
-        step = max(1, 2_000_000 // (length + 1))
-        for at in range(0, len(words), step):
-            memo.update(zip(words[at : at + step], viterbi(pieces, words[at : at + step])))
-    empty = np.empty(0, dtype=np.int32)
-    return [None if w is None else np.concatenate(list(map(memo.__getitem__, w))) if w else empty for w in per_text]
+    out: list[np.ndarray | None] = []
+    for a, b in slices(texts):
+        flat, sizes = _encode_slice(pieces, texts[a:b])
+        out += [None if t is None else ids for t, ids in zip(texts[a:b], np.split(flat, np.cumsum(sizes)[:-1]))]
+    return out
+
+
+def _spelled(pieces: Pieces, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many ids one after another, and how many each id has; ids outside the vocabulary have none."""
+    if pieces.bytes is None:
+        sizes = np.array([len(t) for t in pieces.texts] + [0], dtype=np.int64)
+        pieces.bytes = np.frombuffer(b"".join(pieces.texts), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+    data, starts, sizes = pieces.bytes
+    at = np.where((flat >= 0) & (flat < len(pieces.texts)), flat, len(pieces.texts))
+    return gather(data, starts[at], sizes[at]), sizes[at]
+
+
+def decode_many(pieces: Pieces, ids: list[np.ndarray | None]) -> list[str | None]:
+    """The texts of many id lists, whose bytes are looked up together."""
+    known = [np.asarray(i, dtype=np.int64) if i is not None else np.empty(0, np.int64) for i in ids]
+    if not known:
+        return []
+    data, sizes = _spelled(pieces, np.concatenate(known))
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, known)])]
+    raw, cut, out = data.tobytes(), pieces.dummy_prefix, []
+    for i, a, b in zip(ids, ends[:-1].tolist(), ends[1:].tolist()):
+        text = None if i is None else raw[a:b].decode("utf-8", "replace")
+        out.append(text[1:] if cut and text and text[0] == " " else text)
+    return out
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray | None) -> str | None:
-    if ids is None:
-        return None
-    n = len(pieces.texts)
-    data = b"".join([pieces.texts[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
-    return data[1:] if pieces.dummy_prefix and data.startswith(" ") else data
+    return decode_many(pieces, [ids])[0]
 
 
 def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> Column:
@@ -214,7 +299,7 @@ def decoded(docs: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Column
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
-            yield pd.Series([None if i is None else decode_ids(shared.value, i.tolist()) for i in ids], dtype=object)
+            yield pd.Series(decode_many(shared.value, ids.tolist()), dtype=object)
 
     return run(F.col(ids_col))
 
@@ -228,8 +313,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         pieces = shared.value
         for texts in batches:
             texts = texts.tolist()
-            ids = encode_texts(pieces, texts)
-            same = [None if t is None else decode_ids(pieces, i.tolist()) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
+            ids, same = [], []
+            for a, b in slices(texts):
+                here = encode_texts(pieces, texts[a:b])
+                same += [None if t is None else back == t.replace(SPACE, " ") for t, back in zip(texts[a:b], decode_many(pieces, here))]
+                ids += here
             counts = pd.Series([None if i is None else len(i) for i in ids], dtype="Int32")
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_tokens": counts, "round_trip": pd.Series(same, dtype=object)})
 
