@@ -62,6 +62,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -182,19 +182,22 @@ def extract(html: str | None) -> tuple[str, int, float | None, float | None]:
     on_path = set(map(id, path))
     marked: list[Node] = []
 
-    def descend(node: Node) -> None:
-        for child in node.parts:
-            if isinstance(child, Node) and child.density >= threshold and child.chars:
-                if id(child) in on_path and child is not core:
-                    descend(child)
-                else:
-                    best = max(nodes_of(child), key=lambda n: n.total)
-                    marked.append(best if best.total > child.density else child)
+    def children(node: Node) -> Iterator[Node]:
+        return (p for p in node.parts if isinstance(p, Node) and p.density >= threshold and p.chars)
 
     if core is body:
-        marked = [body]
+        marked.append(body)
     else:
-        descend(body)
+        stack = [children(body)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            elif id(child) in on_path and child is not core:
+                stack.append(children(child))
+            else:
+                best = max(nodes_of(child), key=lambda n: n.total)
+                marked.append(best if best.total > child.density else child)
     return "\n".join(filter(None, map(text_of, marked))), len(nodes), core.total, threshold
 
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, span_hashes, type_of
+from .common import cut, free, mix64, span_hashes, type_of
 
 UNIVERSE = 1 << 20
 SHINGLE = 3
@@ -232,14 +232,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, bands: int = 32, rows: int = 4, seed: int = 11, broadcast_ids: int = 500_000) -> DataFrame:
     """The documents that stay, with all their columns."""
     _, found = _groups(docs, id_col, text_col, threshold, bands, rows, seed, broadcast_ids)
-    removed = cut(found.select(F.col("__id").alias("__gone")))
+    gone, at = free(docs, "__gone"), free(docs, "__at")
+    removed = cut(found.select(F.col("__id").alias(gone)))
     if removed.count() <= broadcast_ids:
         removed = F.broadcast(removed)
     key = F.col(id_col)
-    kept = docs.where(key.isNotNull()).join(removed, key == F.col("__gone"), "left_anti")
-    repeated = cut(repeated_ids(docs, id_col))
+    kept = docs.where(key.isNotNull()).join(removed, key == F.col(gone), "left_anti")
+    repeated = cut(repeated_ids(docs, id_col).withColumnRenamed("__id", gone))
     if not repeated.isEmpty():
         order = Window.partitionBy(id_col).orderBy(F.col(text_col).isNull(), F.xxhash64(text_col))
-        many = kept.join(repeated, key == F.col("__id"), "left_semi").withColumn("__at", F.row_number().over(order))
-        kept = kept.join(repeated, key == F.col("__id"), "left_anti").unionByName(many.where("__at = 1").drop("__at"))
+        many = kept.join(repeated, key == F.col(gone), "left_semi").withColumn(at, F.row_number().over(order))
+        kept = kept.join(repeated, key == F.col(gone), "left_anti").unionByName(many.where(F.col(at) == 1).drop(at))
     return kept.unionByName(docs.where(key.isNull()))

@@ -42,7 +42,7 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 WORD_OR_FEED = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 #: Encoded words that are kept per worker between slices; a matter of speed alone.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 #: Texts are encoded in slices of about so many characters, to bound a worker's memory.
 SLICE_CHARS = 1_000_000
 
@@ -287,7 +287,9 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> Colu
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(encode_texts(shared.value, texts.tolist()), dtype=object)
+            texts = texts.tolist()
+            for a, b in slices(texts):
+                yield pd.Series(encode_texts(shared.value, texts[a:b]), dtype=object)
 
     return run(F.col(text_col))
 
@@ -313,12 +315,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         pieces = shared.value
         for texts in batches:
             texts = texts.tolist()
-            ids, same = [], []
-            for a, b in slices(texts):
-                here = encode_texts(pieces, texts[a:b])
-                same += [None if t is None else back == t.replace(SPACE, " ") for t, back in zip(texts[a:b], decode_many(pieces, here))]
-                ids += here
-            counts = pd.Series([None if i is None else len(i) for i in ids], dtype="Int32")
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_tokens": counts, "round_trip": pd.Series(same, dtype=object)})
+            for a, b in slices(texts):  # each slice is an output batch of its own
+                ids = encode_texts(pieces, texts[a:b])
+                same = [None if t is None else back == t.replace(SPACE, " ") for t, back in zip(texts[a:b], decode_many(pieces, ids))]
+                counts = pd.Series([None if i is None else len(i) for i in ids], dtype="Int32")
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_tokens": counts, "round_trip": pd.Series(same, dtype=object)})
 
     return docs.select(F.col(id_col), run(F.col(text_col)).alias("__e")).select(F.col(id_col), "__e.*")

@@ -26,6 +26,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free
+
 BAD = "label=bad"
 
 
@@ -95,10 +97,12 @@ def flag(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     Pages with equal token sets are matched once: the sets are far fewer than the pages.
     """
     made = ("matched_rule", "rule_confidence", "rule_support", "blocked")
-    tagged = pages.drop(*[c for c in pages.columns if c.lower() in made]).withColumn("__tokens", tokens_of(F.col(url_col)))
-    sets = tagged.select(F.col("__tokens").alias("tokens")).distinct()
+    plain = pages.drop(*[c for c in pages.columns if c.lower() in made])
+    key = free(plain, "__tokens")
+    tagged = plain.withColumn(key, tokens_of(F.col(url_col)))
+    sets = tagged.select(F.col(key).alias("tokens")).distinct()
     hits = _matches(sets, rules.select(F.col("tokens").alias("items")))
     hits = hits.join(rules.select(F.col("tokens").alias("items"), "confidence", "support"), "items")
     order = Window.partitionBy("tokens").orderBy(F.desc("confidence"), F.desc("support"), "items")
-    best = hits.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(F.col("tokens").alias("__tokens"), F.col("items").alias("matched_rule"), F.col("confidence").alias("rule_confidence"), F.col("support").alias("rule_support"))
-    return tagged.join(best, "__tokens", "left").withColumn("blocked", F.col("matched_rule").isNotNull()).drop("__tokens")
+    best = hits.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(F.col("tokens").alias(key), F.col("items").alias("matched_rule"), F.col("confidence").alias("rule_confidence"), F.col("support").alias("rule_support"))
+    return tagged.join(best, key, "left").withColumn("blocked", F.col("matched_rule").isNotNull()).drop(key)
