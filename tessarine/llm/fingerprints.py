@@ -10,10 +10,12 @@ boundaries beyond the next one, so the set of chunk digests resists shifts.
 A document's fingerprint is its set of chunk digests, weighted by chunk length. The
 containment of A in B is the weight of A's chunks that B has, over the weight of A.
 
-Pairs are found by first holders: each chunk's holder with the smallest id is linked to
-every other holder of that chunk. The containment of linked documents, in both
-directions, is exact. Thousands of copies thus give links in proportion to their number
-where all pairs would grow with its square; each copy is linked to the first one.
+All pairs of documents with at least ``min_containment`` are found, exactly. Documents
+with equal fingerprints are one node: each copy is linked with the one of the smallest id,
+whose pairs are those of all its copies. A node's chunks are put in the order of how many
+nodes hold them; a node that contains it must hold one of the first few, whose weight with
+that of unshared chunks just exceeds ``1 - min_containment``. So candidates meet by rare
+chunks, and a passage that thousands of documents hold makes no pairs by itself.
 
 Defined results
 ---------------
@@ -22,7 +24,7 @@ Defined results
 * a chunk that occurs several times in a document counts once in its set.
 * null ids are left out of pairs; :func:`fingerprints` keeps them.
 * repeated ids: the union of the rows' chunks is the fingerprint, once each.
-* equal documents contain each other with 1.0.
+* equal documents: each contains the one with the smallest id, and is contained in it, with 1.0.
 * empty tables give empty results; extra columns are ignored.
 """
 
@@ -113,23 +115,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.5, minimum: int = 128, normal: int = 512, maximum: int = 2048) -> DataFrame:
-    """(id, contained_in, shared_bytes, containment) of linked pairs with at least ``min_containment``.
-
-    Only chunks with several holders are kept for the comparison of pairs; the weight of
-    the others counts in a document's total.
-    """
-    prints = fingerprints(docs, id_col, text_col, minimum, normal, maximum).select(F.col(id_col).alias("__id"), F.col("digest").alias("__d"), F.col("n_bytes").alias("__w"))
-    of_chunk = Window.partitionBy("__d", "__w")
-    held = prints.where("__id is not null").withColumn("__first", F.min("__id").over(of_chunk)).withColumn("__last", F.max("__id").over(of_chunk))
-    held = cut(held)
-
-    total = held.select("__id", "__d", "__w").distinct().groupBy("__id").agg(F.sum("__w").alias("__total"))
-    shared = cut(held.where("__first <> __last").select("__id", "__d", "__w", "__first").distinct())
-    links = shared.where("__id <> __first").select("__id", F.col("__first").alias("__other")).distinct()
-    mine = links.join(shared.select("__id", "__d", "__w"), "__id")
-    theirs = shared.select(F.col("__id").alias("__other"), "__d", "__w")
-    both = mine.join(theirs, ["__other", "__d", "__w"]).groupBy("__id", "__other").agg(F.sum("__w").alias("__shared"))
-    ways = F.array(F.struct(F.col("__id").alias("a"), F.col("__other").alias("b")), F.struct(F.col("__other").alias("a"), F.col("__id").alias("b")))
-    directed = both.select(F.explode(ways).alias("__way"), "__shared").select("__way.a", "__way.b", "__shared")
-    out = directed.join(total.withColumnRenamed("__id", "a"), "a").withColumn("__c", F.col("__shared") / F.col("__total"))
-    return out.where(F.col("__c") >= min_containment).select(F.col("a").alias(id_col), F.col("b").alias("contained_in"), F.col("__shared").alias("shared_bytes"), F.col("__c").alias("containment"))
+    """(id, contained_in, shared_bytes, containment): all pairs of nodes with at least ``min_containment``, and copies with their nodes."""
+    prints = fingerprints(docs, id_col, text_col, minimum, normal, maximum)
+    one = F.struct(F.col("digest").alias("d"), F.col("n_bytes").alias("w"))
+    sets = prints.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set(one)).alias("__chunks"))
+    total = F.aggregate("__chunks", F.lit(0).cast("bigint"), lambda s, c: s + c["w"])
+    key = F.md5(F.array_join(F.transform("__chunks", lambda c: c["d"].cast("string")), ","))
+    sets = sets.select("__id", "__chunks", total.alias("__total"), key.alias("__key"))
+    sets = cut(sets.withColumn("__first", F.min("__id").over(Window.partitionBy("__key"))).drop("__key"))
+
+    each = sets.where("__id = __first").select("__id", "__total", F.explode("__chunks").alias("c")).select("__id", "__total", F.col("c.d").alias("__d"), F.col("c.w").alias("__w"))
+    shared = cut(each.withColumn("__df", F.count("*").over(Window.partitionBy("__d"))).where("__df > 1"))
+    of_node = Window.partitionBy("__id")
+    earlier = of_node.orderBy("__df", "__d").rowsBetween(Window.unboundedPreceding, -1)
+    missed = F.col("__total") - F.sum("__w").over(of_node) + F.coalesce(F.sum("__w").over(earlier), F.lit(0))
+    first_few = shared.withColumn("__missed", missed).where(F.col("__missed") <= F.lit(1 - min_containment) * F.col("__total"))
+    other = shared.select(F.col("__id").alias("__other"), "__d", "__w")
+    candidates = first_few.select("__id", "__d").join(other.drop("__w"), "__d").where("__id <> __other").select("__id", "__other").distinct()
+    both = candidates.join(shared.select("__id", "__total", "__d", "__w"), "__id").join(other, ["__other", "__d", "__w"])
+    pairs = both.groupBy("__id", "__other", "__total").agg(F.sum("__w").alias("__shared")).where(F.col("__shared") >= F.lit(min_containment) * F.col("__total"))
+
+    ways = F.explode(F.array(F.struct(F.col("__id").alias("a"), F.col("__first").alias("b")), F.struct(F.col("__first").alias("a"), F.col("__id").alias("b"))))
+    copies = sets.where("__id <> __first").select(ways.alias("p"), "__total").select(F.col("p.a").alias("__id"), F.col("p.b").alias("__other"), "__total", F.col("__total").alias("__shared"))
+    out = pairs.select(*copies.columns).unionByName(copies)
+    return out.select(F.col("__id").alias(id_col), F.col("__other").alias("contained_in"), F.col("__shared").alias("shared_bytes"), (F.col("__shared") / F.col("__total")).alias("containment"))
