@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.scalar import Scope
 from .functions.text import proxy_embedding
-from .operators import lexical
+from .operators import lexical, olap
 from .plans import nodes as n
 from .plans.parser import SqlError, parse
 from .plans.planner import Planner, Result, Table
@@ -44,7 +47,7 @@ class Engine:
     """Tables under ``path`` (or none, with registered DataFrames alone).
 
     now_ms: the moment that now(), age() and DECAY refer to; the clock's by default.
-    compat: SUM and the like of nothing are 0, as in the reference.
+    compat: SUM and the like of nothing are 0, and aggregates other than COUNT need GROUP BY.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, now_ms: int | None = None, compat: bool = False):
@@ -111,6 +114,19 @@ class Engine:
         self.save_meta(name, meta | {"next_id": meta["next_id"] + added, "stale": True})
         return added
 
+    @contextmanager
+    def bulk(self, name: str) -> Iterator["Engine"]:
+        """Add in any number of steps; indexes that the table had are built once, at the end."""
+        had = self.meta(name)["indexes"]
+        yield self
+        if "text" in had:
+            self.create_index(name, "bm25")
+
+    def fetch(self, name: str, ids: list[int]) -> DataFrame:
+        """Rows by id; the filter reaches the files' statistics."""
+        t = self.table(name)
+        return t.df.where(F.col(t.id_col).isin(ids))
+
     def tombstones(self, name: str) -> DataFrame | None:
         at = self.at(name, "tombstones")
         return self.spark.read.parquet(at).distinct() if fs.exists(self.spark, at) else None
@@ -339,8 +355,13 @@ class Engine:
             raise SqlError(f"unknown strategy {strategy}")
         kind = STRATEGIES[strategy]
         q = n.Select(table, limit=top_k, offset=offset, facets=list(facets), facet_limit=facet_top_n, boosts=list((boosts or {}).items()), decay=decay, rescore=rescore)
-        if where:
-            q.where = parse(f"SELECT * FROM {table} WHERE {where}").where
+        conditions = [parse(f"SELECT * FROM {table} WHERE {where}").where] if where else []
+        query, present = self.inline_filters(table, query, conditions)
+        q.where = n.And(tuple(conditions)) if conditions else None
+        if present:  # "#key": the row has that metadata
+            t = self.table(table)
+            q.table = f"{table}#"
+            self.registered[q.table] = replace(t, df=t.df.where(olap.tagged(t.df, t.scope(self.now_ms), present)), index=None)
         if kind != "dense":
             q.lexical = n.Lexical(query, kind if kind in ("splade", "seismic") else "bm25", k1=k1, b=b, weights=sparse)
         if kind in ("dense", "hybrid") or (query_vector is not None and kind == "bm25" and strategy == "default"):
@@ -354,6 +375,24 @@ class Engine:
             result.df.select(F.col(self.table(table).id_col).alias("id"), "score").agg(F.collect_list(F.struct("id", "score")).alias("hits")).select(*[F.lit(v).alias(k) for k, v in line.items()], "hits").write.mode("append").json(log)
         return result
 
+    def inline_filters(self, table: str, query: str, conditions: list) -> tuple[str, list[str]]:
+        """Takes ``field:value`` of known fields, and ``#field``, out of a query's text: (the rest, fields that must be there)."""
+        t, rest, present = self.table(table), [], []
+        known = {c.lower() for c in t.df.columns}
+        for word in query.split():
+            name, colon, value = word.partition(":")
+            if colon and value and (name.lower() in known or t.meta_col):
+                conditions.append(n.Cmp(n.Col(name.lower()), "=", value))
+            elif word.startswith("#") and word[1:].isidentifier() and (word[1:].lower() in known or t.meta_col):
+                present.append(word[1:].lower())
+            else:
+                rest.append(word)
+        return " ".join(rest), present
+
+    def searches(self, log: str, last: int = 100) -> DataFrame:
+        """The last entries of a search log."""
+        return self.spark.read.json(log).orderBy(F.desc("at")).limit(last)
+
     def with_proxy_vectors(self, name: str, dim: int = 64) -> Table:
         """The table with hashed vectors of its texts where it has no vector column."""
         t = self.table(name)

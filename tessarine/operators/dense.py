@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-#: The reference's index kinds are all answered by the exact scan.
+#: Names of index kinds that are all answered by the exact scan.
 EXACT = ("dense", "vector", "hnsw", "ann", "diskann", "ivf", "muvera", "dot")
 
 

@@ -6,6 +6,8 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from tessarine import cli
+from tessarine.adapters import VectorStore
 from tessarine.engine import Engine
 from tessarine.operators.lexical import document_frequencies
 from tessarine.plans.parser import SqlError
@@ -48,6 +50,29 @@ def test_strategies(engine, strategy):
     assert 0 in engine.search("docs", "tesla motor", strategy=strategy).to_dict()["id"]
 
 
+def test_inline_filters_fetch_log_bulk(engine, tmp_path):
+    assert engine.search("docs", "tesla tag:patent").to_dict()["id"] == [2]
+    assert sorted(engine.search("docs", "motor current #at").to_dict()["id"]) == [0]
+    assert sorted(r[0] for r in engine.fetch("docs", [1, 3, 50]).select("id").collect()) == [1, 3]
+    engine.search("docs", "tesla", log=str(tmp_path / "log"))
+    assert engine.searches(str(tmp_path / "log")).first()["query"] == "tesla"
+    engine.create_index("docs", "bm25")
+    with engine.bulk("docs") as e:
+        e.add("docs", ["tesla one", "tesla two"])
+    assert engine.table("docs").index and len(engine.search("docs", "tesla").to_dict()["id"]) == 4
+
+
+def test_adapters_and_cli(engine, capsys):
+    store = VectorStore(engine, "docs")
+    store.add_texts(["quiet harbour"], [{"tag": "sea"}])
+    assert store.similarity_search("harbour", 1)[0]["id"] == 4
+    assert cli.main(["sql", engine.path, "SELECT id, tag FROM docs WHERE tag = 'sea'"], engine.spark) == 0
+    assert cli.main(["query", engine.path, "docs", "harbour"], engine.spark) == 0
+    assert cli.main(["reindex", engine.path, "docs"], engine.spark) == 0 and cli.main(["tables", engine.path], engine.spark) == 0
+    out = capsys.readouterr().out
+    assert "id\ttag\n4\tsea" in out and "docs\t5" in out
+
+
 def test_groups(engine):
     assert {r[0]: r[1] for r in engine.sql("SELECT tag, COUNT(*) FROM docs GROUP BY tag").df.collect()} == {"history": 1, "science": 1, "patent": 2}
     assert [tuple(r) for r in engine.sql("SELECT tag, SUM(rank) AS s FROM docs GROUP BY tag HAVING s > 9").df.collect()] == [("patent", 100.0), ("science", 10.0)]
