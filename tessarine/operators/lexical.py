@@ -131,7 +131,10 @@ def _term_score(tf: Column, dl: Column, qf: int, idf: float, k1: float, b: float
 
 
 def bm25_indexed(spark, path: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score) from a written index; partitions and row groups without the terms are not read."""
+    """(id, score) from a written index; partitions and row groups without the terms are not read.
+
+    Scores are rounded to 12 places, so that equal documents tie in whatever order terms are added.
+    """
     terms = Counter(tokens_of(query))
     totals = spark.read.parquet(f"{path}/totals").first()
     wanted = sorted(terms)
@@ -144,7 +147,7 @@ def bm25_indexed(spark, path: str, query: str, k1: float = K1, b: float = B) ->
         return hits.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     weight = F.element_at(F.create_map(*[F.lit(x) for w in keep for x in (w, terms[w] * stats.idf(w))]), F.col("term"))
     norm = F.lit(float(k1)) * (F.lit(1.0 - b) + F.lit(float(b)) * F.col("dl") / F.lit(max(stats.mean_length, 1.0)))
-    return hits.where(F.col("term").isin(keep)).groupBy("id").agg(F.sum(weight * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("score"))
+    return hits.where(F.col("term").isin(keep)).groupBy("id").agg(F.round(F.sum(weight * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)), 12).alias("score"))
 
 
 def expanded_query(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text", feedback: int = 3, k1: float = K1, b: float = B) -> list[str]:

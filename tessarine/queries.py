@@ -162,7 +162,10 @@ _TOK_DOCS = _TOK.format(text="text")
 
 
 def bm25_sql(terms: str, where: str = "true", k1: float = 1.2, b: float = 0.75) -> str:
-    """Common table expressions whose last, hits, is (doc_id, score); terms: SQL rows of (term, qf)."""
+    """Common table expressions whose last, hits, is (doc_id, score); terms: SQL rows of (term, qf).
+
+    Scores are rounded, as DuckDB adds in any order and equal texts have to tie.
+    """
     return f"""
 t as (select doc_id, {_TOK_DOCS} as toks, ({where}) as kept from documents),
 n as (select count(*)::double as n, greatest(coalesce(sum(len(toks)), 0)::double / count(*), 1.0::double) as avgdl from t),
@@ -170,7 +173,7 @@ q(term, qf) as ({terms}),
 p as (select x.doc_id, x.term, count(*)::double as tf, any_value(x.dl)::double as dl, any_value(x.kept) as kept from (select doc_id, kept, len(toks) as dl, unnest(toks) as term from t) x where x.term in (select term from q) group by 1, 2),
 df as (select term, count(*)::double as df from p group by 1),
 w as (select df.term, q.qf * ln((n.n - df.df + 0.5::double) / (df.df + 0.5::double) + 1.0::double) as w from df join q using (term), n),
-hits as (select p.doc_id, sum(w.w * p.tf * ({k1}::double + 1.0::double) / (p.tf + {k1}::double * (1.0::double - {b}::double + {b}::double * p.dl / n.avgdl))) as score from p join w using (term), n where p.kept group by 1)"""
+hits as (select p.doc_id, round(sum(w.w * p.tf * ({k1}::double + 1.0::double) / (p.tf + {k1}::double * (1.0::double - {b}::double + {b}::double * p.dl / n.avgdl))), 9) as score from p join w using (term), n where p.kept group by 1)"""
 
 
 _TERMS = "values ('the', 1), ('thing', 1), ('and', 1), ('enheit', 1)"
@@ -252,7 +255,7 @@ ex as (select distinct tok from toks union select unnest(['the', 'thing', 'and',
 ed as (select term, count(*)::double as df from (select distinct doc_id, unnest(toks) as term from t) where term in (select tok from ex) group by 1),
 capped as (select term, df from ed order by df asc, term limit 32),
 ep as (select x.doc_id, x.term, count(*)::double as tf, any_value(x.dl)::double as dl from (select doc_id, len(toks) as dl, unnest(toks) as term from t) x where x.term in (select term from capped) group by 1, 2),
-hits as (select ep.doc_id, sum(ln((n.n - c.df + 0.5::double) / (c.df + 0.5::double) + 1.0::double) * ep.tf * 2.2::double / (ep.tf + 1.2::double * (0.25::double + 0.75::double * ep.dl / n.avgdl))) as score from ep join capped c using (term), n group by 1)
+hits as (select ep.doc_id, round(sum(ln((n.n - c.df + 0.5::double) / (c.df + 0.5::double) + 1.0::double) * ep.tf * 2.2::double / (ep.tf + 1.2::double * (0.25::double + 0.75::double * ep.dl / n.avgdl))), 9) as score from ep join capped c using (term), n group by 1)
 select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 20""")
 def hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') HYDE LIMIT 20").df)
