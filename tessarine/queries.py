@@ -161,7 +161,7 @@ _TOK = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 _TOK_DOCS = _TOK.format(text="text")
 
 
-def bm25_sql(terms: str, where: str = "true", k1: float = 1.2, b: float = 0.75) -> str:
+def bm25_sql(terms: str, where: str = "true", k1: float = 1.2, b: float = 0.75, settle: str = "9") -> str:
     """Common table expressions whose last, hits, is (doc_id, score); terms: SQL rows of (term, qf).
 
     Scores are rounded, as DuckDB adds in any order and equal texts have to tie.
@@ -173,7 +173,7 @@ q(term, qf) as ({terms}),
 p as (select x.doc_id, x.term, count(*)::double as tf, any_value(x.dl)::double as dl, any_value(x.kept) as kept from (select doc_id, kept, len(toks) as dl, unnest(toks) as term from t) x where x.term in (select term from q) group by 1, 2),
 df as (select term, count(*)::double as df from p group by 1),
 w as (select df.term, q.qf * ln((n.n - df.df + 0.5::double) / (df.df + 0.5::double) + 1.0::double) as w from df join q using (term), n),
-hits as (select p.doc_id, round(sum(w.w * p.tf * ({k1}::double + 1.0::double) / (p.tf + {k1}::double * (1.0::double - {b}::double + {b}::double * p.dl / n.avgdl))), 9) as score from p join w using (term), n where p.kept group by 1)"""
+hits as (select p.doc_id, round(sum(w.w * p.tf * ({k1}::double + 1.0::double) / (p.tf + {k1}::double * (1.0::double - {b}::double + {b}::double * p.dl / n.avgdl))), {settle}) as score from p join w using (term), n where p.kept group by 1)"""
 
 
 _TERMS = "values ('the', 1), ('thing', 1), ('and', 1), ('enheit', 1)"
@@ -183,6 +183,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Scores to the 9 places that the oracle's ranks are made from."""
+    return df.withColumn("score", F.round("score", 9))
+
+
 @query(f"select term, count(*) as df from (select distinct doc_id, unnest({_TOK_DOCS}) as term from documents) group by 1")
 def tokenize_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.document_frequencies(table(spark, sf_dir, "documents"))
@@ -200,34 +205,34 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {bm25_sql(_TERMS)} select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') LIMIT 20").df)
+    return _rounded(_settled(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') LIMIT 20").df))
 
 
 @query(f"with {bm25_sql(_TERMS)} select doc_id, round(score, 6) as score from hits")
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(lexical.bm25(table(spark, sf_dir, "documents"), QUERY, "doc_id"))
+    return _rounded(_settled(lexical.bm25(table(spark, sf_dir, "documents"), QUERY, "doc_id")))
 
 
 @query(f"with {bm25_sql(_TERMS, k1=1.6, b=0.4)} select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 20")
 def bm25_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}', k1=1.6, b=0.4) LIMIT 20").df)
+    return _rounded(_settled(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}', k1=1.6, b=0.4) LIMIT 20").df))
 
 
 @query(f"with {bm25_sql(_TERMS)} select id, round(score, 6) as score from (select doc_id as id, score from hits) order by score desc, id limit 20")
 def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     lexical.build_index(table(spark, sf_dir, "documents"), path, "doc_id", buckets=8)
-    return _rounded(dense.top(lexical.bm25_indexed(spark, path, QUERY), 20))
+    return _rounded(_settled(dense.top(lexical.bm25_indexed(spark, path, QUERY), 20)))
 
 
 @query(f"with {bm25_sql(_TERMS, where=chr(34) + 'lang' + chr(34) + ' = ' + chr(39) + 'en' + chr(39) + ' and n_chars between 300 and 9000')} select doc_id, source, round(score, 6) as score from hits join documents using (doc_id) order by hits.score desc, doc_id limit 30")
 def bm25_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine(spark, sf_dir).sql(f"SELECT doc_id, source, score FROM documents SPARSE SEARCH text BM25('{QUERY}') WHERE lang = 'en' AND n_chars BETWEEN 300 AND 9000 LIMIT 30").df)
+    return _rounded(_settled(engine(spark, sf_dir).sql(f"SELECT doc_id, source, score FROM documents SPARSE SEARCH text BM25('{QUERY}') WHERE lang = 'en' AND n_chars BETWEEN 300 AND 9000 LIMIT 30").df))
 
 
 @query(f"with {bm25_sql(_TERMS, where='doc_id in (select doc_id from labels)')} select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 20")
 def bm25_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents JOIN labels ON documents.doc_id = labels.doc_id SPARSE SEARCH text BM25('{QUERY}') LIMIT 20").df)
+    return _rounded(_settled(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents JOIN labels ON documents.doc_id = labels.doc_id SPARSE SEARCH text BM25('{QUERY}') LIMIT 20").df))
 
 
 @query(f"with {bm25_sql(_TERMS)} select coalesce(lang, '_null') as lang, count(*) as n from documents where doc_id in (select doc_id from hits) group by 1")
@@ -258,7 +263,7 @@ ep as (select x.doc_id, x.term, count(*)::double as tf, any_value(x.dl)::double
 hits as (select ep.doc_id, round(sum(ln((n.n - c.df + 0.5::double) / (c.df + 0.5::double) + 1.0::double) * ep.tf * 2.2::double / (ep.tf + 1.2::double * (0.25::double + 0.75::double * ep.dl / n.avgdl))), 9) as score from ep join capped c using (term), n group by 1)
 select doc_id, round(score, 6) as score from hits order by hits.score desc, doc_id limit 20""")
 def hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') HYDE LIMIT 20").df)
+    return _rounded(_settled(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') HYDE LIMIT 20").df))
 
 
 _WEIGHTS = {"the": 0.5, "thing": 2.0, "enheit": 1.5, "and": 0.25}
@@ -366,7 +371,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {bm25_sql(_TERMS)}, h as (select doc_id, score, row_number() over (order by score) as r, count(*) over () as n from hits)
 select doc_id, round(score, 6) as score from h where score >= (select score from h where r = n // 2 + 1)""")
 def crag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') CRAG LIMIT ALL").df)
+    return _rounded(_settled(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') CRAG LIMIT ALL").df))
 
 
 @query("""
@@ -390,7 +395,7 @@ def boost_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round("score", 6).alias("final"), "base")
 
 
-@query(f"""with {bm25_sql("values ('enheit', 1), ('thing', 1)")}
+@query(f"""with {bm25_sql("values ('enheit', 1), ('thing', 1)", settle="15")}
 select doc_id, round(score * case when trim(source) <> '' then 2.0::double else 1.0::double end, 6) as score from hits join documents using (doc_id) order by score * case when trim(source) <> '' then 2.0::double else 1.0::double end desc, doc_id limit 20""".replace("order by score *", "order by hits.score *"))
 def bm25_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(engine(spark, sf_dir).sql("SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('enheit thing') BOOST(source, 2.0) LIMIT 20").df)
@@ -398,7 +403,7 @@ def bm25_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {bm25_sql(_TERMS)}, {_DOT} select doc_id, round(coalesce(dots.score, hits.score), 6) as score from hits left join dots on dots.vec_id = hits.doc_id")
 def rescore_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.bm25(table(spark, sf_dir, "documents"), QUERY, "doc_id")
+    hits = _settled(lexical.bm25(table(spark, sf_dir, "documents"), QUERY, "doc_id"))
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return _rounded(fusion.rescored(hits.join(vecs, "doc_id", "left"), "embedding", VECTOR).select("doc_id", "score"))
 
@@ -407,7 +412,7 @@ def rescore_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 m as (select score as m from h where r = n // 2 + 1), k as (select doc_id, score, row_number() over (order by score desc, doc_id) as rank from h, m where score >= m)
 select 'bm25' as stage, doc_id, round(score, 6) as score, rank, score < m as dropped from h, m union all select 'crag', doc_id, round(score, 6), rank, false from k""")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.bm25(table(spark, sf_dir, "documents"), QUERY, "doc_id")
+    hits = _settled(lexical.bm25(table(spark, sf_dir, "documents"), QUERY, "doc_id"))
     return _rounded(fusion.provenance([("bm25", hits), ("crag", fusion.crag(hits, "doc_id"))], "doc_id"))
 
 
@@ -439,7 +444,7 @@ def mv_create_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir, scratch(spark))
     e.sql(f"CREATE MATERIALIZED VIEW v AS SELECT doc_id FROM documents SPARSE SEARCH text BM25('{QUERY}') LIMIT 10")
     e.sql("REFRESH MATERIALIZED VIEW v")
-    return _rounded(e.sql("SELECT doc_id, score FROM v LIMIT 10").df)
+    return _rounded(_settled(e.sql("SELECT doc_id, score FROM v LIMIT 10").df))
 
 
 @query("select event_id, event_type, value from events")
