@@ -8,13 +8,16 @@ the k-th coordinate, so coordinate k is the least pi(sigma(x) + k) over the set.
 shifts read neighbouring cells, a trigram's part in all coordinates is one contiguous
 slice of pi.
 
-Documents with equal trigram sets form one node. Signatures are cut into bands; the
-documents of a band's bucket are compared to the bucket's first members ("leaders"): one
-in the first round, four times as many in each further one, until every member has been
-linked or compared to all before it. A comparison is the exact Jaccard similarity of the
-trigram sets, made from the whole texts. Groups of thousands of copies thus cost a
-number of comparisons in proportion to their size, and no bucket is capped. The groups
-are the connected components of the links at or above ``threshold``.
+Documents with equal trigram sets form one node. Signatures are cut into bands. In each
+round the first members of a band's bucket ("leaders") are compared to all its later ones
+that are not yet connected to them; then the leaders leave the bucket. So every pair of a
+bucket is compared unless its ends are in one group already. A bucket is done when all it
+holds is in one group. Leaders are one in the first round and up to four times as many in
+each further one, as far as ``round_pairs`` allows. A comparison is the exact Jaccard
+similarity of the trigram sets, made from the whole texts. Where the leaders are near most
+of a group, thousands of copies cost a number of comparisons in proportion to their size;
+members that are near nothing are compared to the whole bucket. No bucket is capped. The
+groups are the connected components of the links at or above ``threshold``.
 
 Defined results
 ---------------
@@ -149,13 +152,30 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, chunk: int =
     return rows.select("__leader", "__part", "__member", "__id", "__text").mapInPandas(compare, f"__id {id_type}, __leader {id_type}")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_most: int = 0) -> DataFrame:
     """(__id, __group): the smallest id that each end of the edges (__id, __leader) is connected to.
 
+    Up to ``at_most`` edges are connected by the driver, which saves small jobs.
+
     Alternates between linking all larger neighbours, then all smaller ones, to a node's
     least neighbour, until nothing changes: a logarithmic number of rounds.
     """
     e = cut(edges.select(F.greatest("__id", "__leader").alias("u"), F.least("__id", "__leader").alias("v")).where("u <> v").distinct())
+    if e.count() <= at_most:
+        above: dict = {}
+
+        def root(key):
+            while key in above:
+                above[key] = above.get(above[key], above[key])
+                key = above[key]
+            return key
+
+        for u, v in e.toLocalIterator():
+            low, high = sorted((root(u), root(v)))
+            if low != high:
+                above[high] = low
+        kind = type_of(e, "u")
+        return cut(e.sparkSession.createDataFrame([(key, root(key)) for key in list(above)], f"__id {kind}, __group {kind}"))
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -170,7 +190,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, seed: int, broadcast_ids: int) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int, seed: int, broadcast_ids: int, round_pairs: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     signed = signatures(docs, id_col, text_col, bands, rows, seed)
     once = signed.groupBy("__id").agg(F.min(F.struct("__hash", "__set", "__bands")).alias("__row")).select("__id", "__row.*")
     same = once.withColumn("__first", F.min("__id").over(Window.partitionBy("__set")))
@@ -178,11 +198,16 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands
     edges = same.where("__id <> __first").select("__id", F.col("__first").alias("__leader"))
 
     of_key = Window.partitionBy("__key")
+    at_driver = min(broadcast_ids, 200_000)
+    grouped = components(edges, at_driver)
 
-    def shared(members: DataFrame) -> DataFrame:
-        return members.withColumn("__n", F.count("*").over(of_key)).where("__n > 1").select("__key", "__id")
+    def apart(members: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one group so far."""
+        named = members.join(grouped, "__id", "left").select("__key", "__id", F.coalesce("__group", "__id").alias("__group"))
+        named = named.withColumns({"__low": F.min("__group").over(of_key), "__high": F.max("__group").over(of_key)})
+        return named.where("__low <> __high").select("__key", "__id", "__group")
 
-    members = cut(shared(same.where("__bands is not null").select("__id", F.explode("__bands").alias("__key"))))
+    members = cut(apart(same.where("__bands is not null").select("__id", F.explode("__bands").alias("__key"))))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -195,22 +220,23 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands
     in_play = members.select("__id").distinct()
     if in_play.count() > broadcast_ids:
         texts = cut(texts_of(in_play))
-    leaders = 1
-    while True:
+    leaders, left = 1, members.count()
+    limit, tried = max(round_pairs, left), None
+    while left:
         ranked = members.withColumn("__at", F.row_number().over(of_key.orderBy("__id")))
-        lead = ranked.where(F.col("__at") <= leaders).select("__key", F.col("__id").alias("__leader"), F.col("__at").alias("__lead_at"))
-        compared = ranked.join(lead, "__key").where("__at > __lead_at").select("__key", "__id", "__at", "__leader")
-        pairs = cut(compared.select("__id", "__leader").distinct())
-        if pairs.isEmpty():
-            break
-        ends = pairs.select("__id").unionByName(pairs.select(F.col("__leader").alias("__id"))).distinct()
-        linked = cut(verified(pairs, texts_of(ends).select("__id", "__text"), threshold))
-        edges = edges.unionByName(linked)
-        joined = compared.join(linked, ["__id", "__leader"], "left_semi").select("__key", "__id").distinct()
-        rest = ranked.where(F.col("__at") > leaders).select("__key", "__id").join(joined, ["__key", "__id"], "left_anti")
-        members = cut(shared(rest))
-        leaders *= 4
-    return same, components(edges)
+        lead = ranked.where(F.col("__at") <= leaders).select("__key", F.col("__id").alias("__leader"), F.col("__at").alias("__lead_at"), F.col("__group").alias("__lead_group"))
+        pairs = ranked.join(lead, "__key").where("__at > __lead_at and __group <> __lead_group").select("__id", "__leader").distinct()
+        pairs = cut(pairs.join(tried, ["__id", "__leader"], "left_anti") if tried else pairs)
+        tried = tried.unionByName(pairs) if tried else pairs
+        if not pairs.isEmpty():
+            ends = pairs.select("__id").unionByName(pairs.select(F.col("__leader").alias("__id"))).distinct()
+            linked = cut(verified(pairs, texts_of(ends).select("__id", "__text"), threshold))
+            if not linked.isEmpty():
+                grouped = components(grouped.select("__id", F.col("__group").alias("__leader")).unionByName(linked), at_driver)
+        members = cut(apart(ranked.where(F.col("__at") > leaders).select("__key", "__id")))
+        left = members.count()
+        leaders = max(1, min(4 * leaders, limit // max(left, 1)))
+    return same, grouped
 
 
 def repeated_ids(docs: DataFrame, id_col: str) -> DataFrame:

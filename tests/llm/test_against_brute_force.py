@@ -223,6 +223,24 @@ def test_near_duplicates(spark):
     assert got == {r[0]: r[1] for r in near_dedup.groups(df, broadcast_ids=0).collect()}
 
 
+def test_star_shaped_group(spark):
+    """70 copies of one text, most of them nearer to it than to each other: all links within buckets count."""
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(3000)]
+    base = rnd.choices(words, k=150)
+    texts = {i: " ".join(rnd.choice(words) if rnd.random() < 0.1 else w for w in base) for i in range(1, 71)} | {500: " ".join(base)}
+    sets = {i: near_dedup.shingles_of(t) for i, t in texts.items()}
+    keys = {i: set(near_dedup.band_keys(near_dedup.signature(s, 128, 11), 32).tolist()) for i, s in sets.items()}
+    group = {i: i for i in texts}
+    for i, j in combinations(sorted(texts), 2):
+        if keys[i] & keys[j] and near_dedup.jaccard(sets[i], sets[j]) >= 0.5 and group[i] != group[j]:
+            low, high = sorted((group[i], group[j]))
+            group = {k: low if v == high else v for k, v in group.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {i: g for i, g in group.items() if i != g}
+    assert len(want) > 50 and {r[0]: r[1] for r in near_dedup.groups(df).collect()} == want
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(2)
     both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (600, 200, 200))
