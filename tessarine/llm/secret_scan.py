@@ -1,7 +1,7 @@
 """Secret scanning by password guess cost.
 
-A value in a credential context (``password=...``, ``api_key: "..."``, ``token = ...``)
-is a secret if it is hard to guess. Its cost, the decimal logarithm of the guesses an
+A value in a credential context (``password=...``, ``api_key: "..."``, ``DB_PASS = ...``,
+``Authorization: Bearer ...``, ``<password>...</password>``) is a secret if it is hard to guess. Its cost, the decimal logarithm of the guesses an
 informed attacker needs, is that of the cheapest way to cut it into
 
 * dictionary words (log10 of the rank, plus log10 2 for capital letters and for each
@@ -23,7 +23,7 @@ Defined results
 ---------------
 * null or empty texts and texts without a credential context: no findings; redaction
   returns them unchanged (null stays null).
-* a value is the quoted string, or else the run up to white space, quote, comma,
+* a value is an XML element's text to the next tag or line end, the quoted string, or else the run up to white space, quote, comma,
   semicolon or closing bracket; empty values and values under ``min_length`` are no
   findings.
 * ties between segmentations: the cost is the same; the one with the earliest kind in
@@ -47,10 +47,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDLIST = "/opt/tokenizers/word_bpe_49k.json"
-_NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?"
-#: The context, for the JVM's and for Python's regular expressions alike.
-CONTEXT = rf"(?i)(?:{_NAMES})[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}"
-FINDING = re.compile(CONTEXT + r"(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"',;)\]}>]+))")
+_NAMES = "password|passwd|passphrase|pwd|secret|token|api[ _-]?key|apikey|(?:access|auth|private|encryption|signing|master|session|account|service|shared|storage|license)[ _-]?key|client[ _-]?secret|credentials?|authorization|(?<![a-z])(?:db|user|root|admin|smtp|ftp|sql)?pass(?![a-z])"
+#: A name with the further parts of its identifier.
+_NAME = rf"(?:{_NAMES})s?(?: ?(?:key|value|id|code|hash|string))?(?:[_.-][a-z0-9]+){{0,4}}"
+_ELEMENT = rf"<[\w:.-]{{0,40}}?{_NAME}(?:\s[^<>]{{0,200}})?>"
+_ASSIGNED = rf"{_NAME}[\"']?\]?[\s ]*(?:=>|:=|=|:)[\s ]*"
+#: The context, for the JVM's and for Python's regular expressions alike: an XML element, or an assignment or header.
+CONTEXT = rf"(?i)(?:{_ELEMENT}|{_ASSIGNED})"
+FINDING = re.compile(rf"(?i){_ELEMENT}\s*([^<>\r\n]+)|{_ASSIGNED}(?:(?:bearer|basic|digest|token)[ \t]+(?=[^\s\"',;)\]}}>]))?(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"',;)\]}}>]+))")
 NAME = re.compile(rf"(?i){_NAMES}")
 
 BREAK = math.log10(2)
@@ -220,13 +224,15 @@ def _scorer(path: str | None) -> GuessCost:
 def findings_of(text: str, scorer: GuessCost, min_length: int) -> Iterator[tuple[str, int, int, str, float, list]]:
     """(name, start, end, value, cost, parts) of each value in a credential context."""
     for m in FINDING.finditer(text):
-        which = next(i for i in (1, 2, 3) if m.group(i) is not None)
+        which = next(i for i in (1, 2, 3, 4) if m.group(i) is not None)
         value = m.group(which)
-        if which == 3:
+        if which == 1:
+            value = value.rstrip()
+        if which == 4:
             value = value.rstrip(".!?:")
         if len(value) >= min_length:
             cost, parts = scorer.parts(value)
-            yield NAME.match(m.group(0)).group(0).lower(), m.start(which), m.start(which) + len(value), value, cost, parts
+            yield NAME.search(m.group(0)).group(0).lower(), m.start(which), m.start(which) + len(value), value, cost, parts
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 10.0, min_length: int = 4, wordlist: str | None = WORDLIST) -> DataFrame:

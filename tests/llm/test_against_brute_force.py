@@ -58,6 +58,16 @@ def test_secrets_and_harmless_values(spark):
     assert long[0] < 8 and [k for k, _, _ in long[1]] == ["repeat"]
 
 
+def test_credential_contexts(spark):
+    """Each form passes the filter of the JVM and the finder, and its value alone is masked."""
+    value = "f3A9x0Qm7Zk2LwPd81sV"
+    forms = ['SECRET_KEY = "%s"', "secret_key: %s", "encryption_key=%s", "DB_PASS=%s", "api key: %s", "Authorization: Bearer %s", "<password>%s</password>", '<db:password type="plain"> %s </db:password>', 'password =     "%s"', "token_id: '%s'", "secretKey=%s", "cfg['password'] = '%s'", "password=%s", '"api_key": "%s"']
+    df = spark.createDataFrame([(i, f % value) for i, f in enumerate(forms)] + [(99, f"the compass: {value}")], "doc_id long, text string")
+    assert {r["doc_id"] for r in secret_scan.scan(df).where("is_secret").collect()} == set(range(len(forms)))
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert masked == {i: f % "[SECRET]" for i, f in enumerate(forms)} | {99: f"the compass: {value}"}
+
+
 # 2: fingerprints
 
 
