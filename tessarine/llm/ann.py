@@ -9,9 +9,12 @@ about ``per_cell`` vectors in a cell, at every size of the table. A query probes
 probed cell are compared exactly, by a matrix product in double precision, and the ``k``
 best over all tables remain. Every vector is a query.
 
-``tables`` is the number of hash tables for 50,000 vectors; it grows with the fourth root
-of their number, as fixed tables would lose recall on larger ones. Where the probes
-cover all cells, one table gives the exact result.
+``tables`` is the number of hash tables for 50,000 vectors; it grows at least with the
+fourth root of their number, and as far as a simulation of the plan needs to find
+``RECALL`` of the neighbours that uniform vectors of that number and dimension have, the
+hardest case. If the tables' probes would then cover as many cells as there are, two cells
+are probed in whole instead. Where the probes cover all cells, one table gives the exact
+result.
 
 Cells with more than ``most`` vectors or queries are split into parts that all meet, so no
 task holds more than that of either, and nothing is left out.
@@ -77,12 +80,38 @@ def nearest_axes(x: np.ndarray, count: int) -> np.ndarray:
     return np.take_along_axis(top, order, 1)
 
 
-def plan(n: int, dim: int, per_cell: int, tables: int, probes: int) -> tuple[list[int], int]:
+RECALL, SIMULATED = 0.95, 2000
+
+
+def expected_cosines(n: int, dim: int, ranks: np.ndarray) -> np.ndarray:
+    """The cosines that about ``ranks`` of n uniform vectors exceed."""
+    angle = np.linspace(0, math.pi, 200_001)
+    below = np.cumsum(np.sin(angle) ** max(dim - 2, 0))
+    return np.cos(np.interp(ranks / n, below / below[-1], angle))
+
+
+def plan(n: int, dim: int, per_cell: int, tables: int, probes: int, k: int = 10, seed: int = 5) -> tuple[list[int], int]:
     """(axes of each hash of a table, number of tables) for n vectors."""
     whole = 1 + max(1, (dim - 1).bit_length())  # bits of a hash over all signed axes
     bits = max(1, round(math.log2(max(n, 1) / per_cell))) if n > per_cell else 1
     hashes = [1 << whole] * (bits // whole) + ([1 << (bits % whole)] if bits % whole else [])
-    return hashes, 1 if probes >= 1 << bits else math.ceil(tables * max(1.0, n / 50_000) ** 0.25)
+    if probes >= 1 << bits:
+        return hashes, 1
+    least = math.ceil(tables * max(1.0, n / 50_000) ** 0.25)
+    rng = np.random.default_rng(seed)
+    q, other = rng.normal(size=(2, SIMULATED, dim))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    other -= (other * q).sum(axis=1, keepdims=True) * q
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-300)
+    cosine = expected_cosines(n, dim, np.arange(SIMULATED) % k + 0.5)[:, None]
+    point = cosine * q + np.sqrt(1 - cosine**2) * other
+    found, count = np.zeros(SIMULATED, dtype=bool), 0
+    while count < least or found.mean() < RECALL:
+        if count >= least and count * probes >= 1 << bits and probes >= 2:
+            return [2], 1
+        found |= (cells(q, count, hashes, probes, seed) == cells(point, count, hashes, 1, seed)).any(axis=1)
+        count += 1
+    return hashes, count
 
 
 def cells(x: np.ndarray, table: int, hashes: list[int], probes: int, seed: int) -> np.ndarray:
@@ -137,7 +166,7 @@ def neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str
     result = f"`{id_col}` {kind}, neighbour {kind}, similarity double, rank int"
     if not n:
         return df.sparkSession.createDataFrame([], result)
-    hashes, count = plan(n, dim, per_cell, tables, probes)
+    hashes, count = plan(n, dim, per_cell, tables, probes, k, seed)
 
     def placed(width: int):
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

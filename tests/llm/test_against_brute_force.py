@@ -183,6 +183,24 @@ def test_several_hashes():
     assert codes.shape == (50, 3) and (codes[:, 0] == ann.cells(x, 0, hashes, 1, 5)[:, 0]).all() and codes.max() < 1 << 18
 
 
+@pytest.mark.parametrize("n", [51_282, 200_000, 1_000_000, 3_000_000])
+def test_planned_recall(n):
+    """Other uniform pairs than the plan's own, at the cosines of the 10 nearest of n."""
+    hashes, tables = ann.plan(n, 64, 400, 16, 3)
+    rng = np.random.default_rng(77)
+    q = rng.normal(size=(1000, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    side = rng.normal(size=(1000, 64))
+    side -= (side * q).sum(axis=1, keepdims=True) * q
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = ann.expected_cosines(n, 64, np.arange(1000) % 10 + 0.5)[:, None]
+    p, found = c * q + np.sqrt(1 - c * c) * side, np.zeros(1000, dtype=bool)
+    for t in range(tables):
+        found |= (ann.cells(q, t, hashes, 3, 5) == ann.cells(p, t, hashes, 1, 5)).any(axis=1)
+    print(n, hashes, tables, found.mean())
+    assert found.mean() >= 0.93
+
+
 # 5: rules
 
 
