@@ -59,6 +59,8 @@ NAME = re.compile(rf"(?i){_NAMES}")
 
 BREAK = math.log10(2)
 PER_CHAR = 1.0
+#: What 8 random characters cost: one decimal digit each.
+MIN_COST = 8.0
 WALK_START, WALK_ON, WALK_TURN = math.log10(47), math.log10(2), math.log10(6)
 MAX_UNIT = 32
 REFERENCE_YEAR = 2025
@@ -235,7 +237,7 @@ def findings_of(text: str, scorer: GuessCost, min_length: int) -> Iterator[tuple
             yield NAME.search(m.group(0)).group(0).lower(), m.start(which), m.start(which) + len(value), value, cost, parts
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 10.0, min_length: int = 4, wordlist: str | None = WORDLIST) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = MIN_COST, min_length: int = 4, wordlist: str | None = WORDLIST) -> DataFrame:
     """One row per credential value: id, name, start, end, log10_guesses, n_parts, kinds, is_secret.
 
     start and end count characters of the text. is_secret: the cost is at least min_cost.
@@ -264,7 +266,7 @@ def _row(finding: tuple, min_cost: float) -> dict:
     return {"name": name, "start": start, "end": end, "log10_guesses": cost, "n_parts": len(parts), "kinds": "+".join(dict.fromkeys(k for k, _, _ in parts)), "is_secret": cost >= min_cost}
 
 
-def redacted(docs: DataFrame, text_col: str = "text", min_cost: float = 10.0, min_length: int = 4, wordlist: str | None = WORDLIST, mask: str = "[SECRET]") -> Column:
+def redacted(docs: DataFrame, text_col: str = "text", min_cost: float = MIN_COST, min_length: int = 4, wordlist: str | None = WORDLIST, mask: str = "[SECRET]") -> Column:
     """The text with every secret value replaced by ``mask``."""
     shared = docs.sparkSession.sparkContext.broadcast(load_words(wordlist))
     state: list[GuessCost] = []

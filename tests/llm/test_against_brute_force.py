@@ -68,6 +68,13 @@ def test_credential_contexts(spark):
     assert masked == {i: f % "[SECRET]" for i, f in enumerate(forms)} | {99: f"the compass: {value}"}
 
 
+def test_short_random_values_are_secrets_by_default(spark):
+    values = ["k7#Qz!9w", "R4v$x8Lp2", "password", "password123", "qwertyuiop", "2024-01-31", "aaaaaaaaaa", "trustno1"]
+    df = spark.createDataFrame([(i, f"password = '{v}'") for i, v in enumerate(values)], "doc_id long, text string")
+    assert {r["doc_id"] for r in secret_scan.scan(df).where("is_secret").collect()} == {0, 1}
+    assert {r["doc_id"] for r in secret_scan.redact(df).where("text like '%[SECRET]%'").collect()} == {0, 1}
+
+
 # 2: fingerprints
 
 
