@@ -52,12 +52,12 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(all_of)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6, min_bad: int = 5, max_tokens: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6, min_bad: int = 5, max_tokens: int | None = None) -> DataFrame:
     """(tokens, confidence, support, n_bad): the rules that stay after pruning.
 
     min_support: the least share of labelled rows that have the tokens and are bad.
     min_bad: the least number of such rows, so that small tables give no chance rules.
-    max_tokens: rules with more tokens are left out.
+    max_tokens: rules with more tokens are left out; None: none are.
 
     The rows that are mined are the bad ones (a rule's support is theirs alone); how
     often a rule's tokens occur at all is then counted over all labelled rows.
@@ -72,7 +72,9 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_su
         return empty
     share = min(1.0, max(min_support * total, min_bad) / n_bad)
     found = FPGrowth(itemsCol="tokens", minSupport=share, minConfidence=1.0).fit(rows.where("bad")).freqItemsets
-    found = found.where(F.size("items") <= max_tokens).select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad"))
+    if max_tokens is not None:
+        found = found.where(F.size("items") <= max_tokens)
+    found = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad"))
     seen = _matches(rows.select("tokens", F.monotonically_increasing_id().alias("__row")), found).groupBy("items").agg(F.count("*").alias("n"))
     rules = found.join(seen, "items").select(F.col("items").alias("tokens"), (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(total)).alias("support"), "n_bad")
     rules = rules.where(F.col("confidence") >= min_confidence)

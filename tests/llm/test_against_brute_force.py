@@ -231,6 +231,18 @@ def test_rules(spark):
     assert url_rules.mine(df.where("not bad")).count() == 0
 
 
+def test_rule_of_four_tokens(spark):
+    """Bad only where scheme, host label, path and key come together; every three of them are mostly good."""
+    urls = []
+    for bits in range(16):
+        s, h, p, k = ("ab"[bits >> i & 1] for i in range(4))
+        urls += [(f"{'http' if s == 'a' else 'ftp'}://{h}{i}q.{h}/{p}?{k}=1", bits == 0) for i in range(10)]
+    df = spark.createDataFrame(urls, "url string, bad boolean")
+    rules = {tuple(r["tokens"]): r["confidence"] for r in url_rules.mine(df).collect()}
+    assert rules[("key:a", "label:a", "path:a", "scheme:http")] == 1.0
+    assert url_rules.flag(df, url_rules.mine(df)).where("blocked <> bad").count() == 0
+
+
 # 7: near duplicates
 
 
