@@ -34,29 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *replaced: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     The lineage ends there, so that a lost executor costs a re-read and not a
-    recomputation, and every later read prunes columns. The files are deleted when
-    the driver ends, or by :func:`release`.
+    recomputation, and every later read prunes columns. ``replaced`` are earlier results
+    of this function that nothing reads any more: their files are deleted now. The others
+    are deleted when the driver ends, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessarine-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessarine_path = path
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    for old in replaced:
+        gone = getattr(old, "_tessarine_path", None)
+        if (spark, gone) in _written:
+            _written.remove((spark, gone))
+            _delete(spark, gone)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def release() -> None:
     """Delete what :func:`cut` has written; DataFrames that read it are then unusable."""
     while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(*_written.pop())
 
 
 atexit.register(release)
@@ -70,6 +79,45 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(key: str, names: tuple[str, ...]) -> list[str]:
+    """Result columns' ``names``; one that is called like the key column gets underscores."""
+    out = []
+    for name in names:
+        while name.lower() == key.lower():
+            name += "_"
+        out.append(name)
+    return out
+
+
+#: No more keys than this are ever broadcast as too frequent for one task.
+MOST_HOT = 10_000
+
+
+def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
+    """``rows`` inner-joined with ``facts``, which has one row for each key, and the number of the key's rows in __n.
+
+    Keys with more than ``least`` rows that also make up more than 1 / MOST_HOT of all rows, so MOST_HOT at most,
+    are broadcast, and their rows stay where they are; the others meet in a shuffle.
+    """
+    total, largest = facts.agg(F.sum("__n"), F.max("__n")).first()
+    bound = max(least, (total or 0) // MOST_HOT)
+    if (largest or 0) <= bound:
+        return rows.join(facts, keys)
+    hot = facts.where(F.col("__n") > bound)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col("__n") <= bound), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
+def with_facts(rows: DataFrame, keys: list[str], *aggregates: Column, having: str = "true") -> DataFrame:
+    """``rows`` with aggregates over all rows of their key, and their number __n, where ``having`` holds.
+
+    What a window partitioned by the keys would give, but combined before the shuffle, so
+    that a key that holds a large share of all rows makes no task of that size.
+    """
+    facts = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *aggregates).where(having)
+    return lookup(rows, cut(facts), keys)
+
+
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
