@@ -10,22 +10,28 @@ boundaries beyond the next one, so the set of chunk digests resists shifts.
 A document's fingerprint is its set of chunk digests, weighted by chunk length. The
 containment of A in B is the weight of A's chunks that B has, over the weight of A.
 
-All pairs of documents with at least ``min_containment`` are found, exactly. Documents
-with equal fingerprints are one node: each copy is linked with the one of the smallest id,
-whose pairs are those of all its copies. A node's chunks are put in the order of how many
-nodes hold them; a node that contains it must hold one of the first few, whose weight with
-that of unshared chunks just exceeds ``1 - min_containment``. So candidates meet by rare
-chunks, and a passage that thousands of documents hold makes no pairs by itself.
+All pairs of documents with at least ``min_containment`` are found, exactly, and told by
+classes: documents that hold the same shared chunks (those of more than one document) are
+one class, whatever else they hold, so copies are one class and so are texts that have
+nothing but a passage in common. A chunk set decides what two documents share, so a link
+between two classes is one between all of their members, see :func:`containment`.
+
+A class's chunks are put in the order of how many documents hold them; a class that
+contains it must hold one of the first few, whose weight with that of unshared chunks just
+exceeds ``1 - min_containment``. So candidates meet by rare chunks. How many documents hold
+a chunk is aggregated and joined back; no task gets all rows of a chunk.
 
 Defined results
 ---------------
 * null or empty texts: no chunks, no fingerprint rows, in no pair.
 * a text of at most ``minimum`` bytes is one chunk.
 * a chunk that occurs several times in a document counts once in its set.
-* null ids are left out of pairs; :func:`fingerprints` keeps them.
+* null ids are left out of classes; :func:`fingerprints` keeps them.
 * repeated ids: the union of the rows' chunks is the fingerprint, once each.
-* equal documents: each contains the one with the smallest id, and is contained in it, with 1.0.
-* empty tables give empty results; extra columns are ignored.
+* documents that share no chunk with another are in no class and have no row.
+* ties: the class is called by its smallest id.
+* empty tables give empty results; extra columns are ignored. Result columns that are
+  called like the id column get an underscore.
 """
 
 from __future__ import annotations
@@ -38,9 +44,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup, named, type_of
 
 WINDOW_DOUBLINGS = 5
+#: Members of a chunk that one task joins, and the bits that a chunk's length has beside its document's.
+PART, LENGTH_BITS = 50_000, 24
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -95,47 +103,77 @@ def chunks_of(text: str | None, minimum: int, normal: int, maximum: int) -> dict
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", minimum: int = 128, normal: int = 512, maximum: int = 2048) -> DataFrame:
-    """(id, digest, n_bytes): one row for each distinct chunk of each row's text. Nothing is shuffled."""
+def _chunks(docs: DataFrame, id_col: str, text_col: str, minimum: int, normal: int, maximum: int) -> DataFrame:
+    """(__id, __d: digest, __w: length, __t: the length of all the row's chunks), a row for each distinct chunk of a row's text."""
+    if not 0 < minimum <= normal <= maximum < 1 << LENGTH_BITS:
+        raise ValueError("chunk lengths must rise from the least to the most")
 
-    @F.pandas_udf("struct<digests:array<long>,sizes:array<int>>")
+    @F.pandas_udf("struct<d:array<long>,w:array<int>,t:long>")
     def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            digests, sizes = [], []
-            for text in texts:
-                found = chunks_of(text, minimum, normal, maximum)
-                digests.append(np.fromiter(found.keys(), dtype=np.uint64, count=len(found)).view(np.int64))
-                sizes.append(np.fromiter(found.values(), dtype=np.int32, count=len(found)))
-            yield pd.DataFrame({"digests": digests, "sizes": sizes})
+            found = [chunks_of(text, minimum, normal, maximum) for text in texts]
+            digests = [np.fromiter(f.keys(), dtype=np.uint64, count=len(f)).view(np.int64) for f in found]
+            sizes = [np.fromiter(f.values(), dtype=np.int32, count=len(f)) for f in found]
+            yield pd.DataFrame({"d": digests, "w": sizes, "t": [int(w.sum()) for w in sizes]})
 
     text = F.col(text_col)
     each = docs.where(F.length(text) > 0).select(F.col(id_col).alias("__id"), chunk(text).alias("__c"))
-    each = each.select("__id", F.explode(F.arrays_zip("__c.digests", "__c.sizes")).alias("__c"))
-    return each.select(F.col("__id").alias(id_col), F.col("__c.digests").alias("digest"), F.col("__c.sizes").alias("n_bytes"))
+    each = each.select("__id", F.col("__c.t").alias("__t"), F.explode(F.arrays_zip("__c.d", "__c.w")).alias("__c"))
+    return each.select("__id", F.col("__c.d").alias("__d"), F.col("__c.w").cast("long").alias("__w"), "__t")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", minimum: int = 128, normal: int = 512, maximum: int = 2048) -> DataFrame:
+    """(id, digest, n_bytes): one row for each distinct chunk of each row's text. Nothing is shuffled."""
+    digest, size = named(id_col, ("digest", "n_bytes"))
+    each = _chunks(docs, id_col, text_col, minimum, normal, maximum)
+    return each.select(F.col("__id").alias(id_col), F.col("__d").alias(digest), F.col("__w").cast("int").alias(size))
 
 
 def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.5, minimum: int = 128, normal: int = 512, maximum: int = 2048) -> DataFrame:
-    """(id, contained_in, shared_bytes, containment): all pairs of nodes with at least ``min_containment``, and copies with their nodes."""
-    prints = fingerprints(docs, id_col, text_col, minimum, normal, maximum)
-    one = F.struct(F.col("digest").alias("d"), F.col("n_bytes").alias("w"))
-    sets = prints.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set(one)).alias("__chunks"))
-    total = F.aggregate("__chunks", F.lit(0).cast("bigint"), lambda s, c: s + c["w"])
-    key = F.md5(F.array_join(F.transform("__chunks", lambda c: c["d"].cast("string")), ","))
-    sets = sets.select("__id", "__chunks", total.alias("__total"), key.alias("__key"))
-    sets = cut(sets.withColumn("__first", F.min("__id").over(Window.partitionBy("__key"))).drop("__key"))
-
-    each = sets.where("__id = __first").select("__id", "__total", F.explode("__chunks").alias("c")).select("__id", "__total", F.col("c.d").alias("__d"), F.col("c.w").alias("__w"))
-    shared = cut(each.withColumn("__df", F.count("*").over(Window.partitionBy("__d"))).where("__df > 1"))
-    of_node = Window.partitionBy("__id")
-    earlier = of_node.orderBy("__df", "__d").rowsBetween(Window.unboundedPreceding, -1)
-    missed = F.col("__total") - F.sum("__w").over(of_node) + F.coalesce(F.sum("__w").over(earlier), F.lit(0))
-    first_few = shared.withColumn("__missed", missed).where(F.col("__missed") <= F.lit(1 - min_containment) * F.col("__total"))
-    other = shared.select(F.col("__id").alias("__other"), "__d", "__w")
-    candidates = first_few.select("__id", "__d").join(other.drop("__w"), "__d").where("__id <> __other").select("__id", "__other").distinct()
-    both = candidates.join(shared.select("__id", "__total", "__d", "__w"), "__id").join(other, ["__other", "__d", "__w"])
-    pairs = both.groupBy("__id", "__other", "__total").agg(F.sum("__w").alias("__shared")).where(F.col("__shared") >= F.lit(min_containment) * F.col("__total"))
-
-    ways = F.explode(F.array(F.struct(F.col("__id").alias("a"), F.col("__first").alias("b")), F.struct(F.col("__first").alias("a"), F.col("__id").alias("b"))))
-    copies = sets.where("__id <> __first").select(ways.alias("p"), "__total").select(F.col("p.a").alias("__id"), F.col("p.b").alias("__other"), "__total", F.col("__total").alias("__shared"))
-    out = pairs.select(*copies.columns).unionByName(copies)
-    return out.select(F.col("__id").alias(id_col), F.col("__other").alias("contained_in"), F.col("__shared").alias("shared_bytes"), (F.col("__shared") / F.col("__total")).alias("containment"))
+    """(id, class_id, n_bytes, contained_in, shared_bytes, containment): the classes' members and the links between classes.
+
+    Where contained_in is null, the row says that the document is of that class and that
+    its chunks have n_bytes. The other rows are links, from the class class_id (whose
+    smallest id is repeated in the id column, and the least n_bytes of a member in n_bytes)
+    to the class contained_in: every member whose n_bytes are at most shared_bytes /
+    min_containment is contained, to the part shared_bytes / n_bytes, in all other members
+    of contained_in. containment is that part for the shortest member, the largest. A class
+    is linked to itself if it has several members.
+    """
+    rows = _chunks(docs.where(F.col(id_col).isNotNull()), id_col, text_col, minimum, normal, maximum)
+    if not docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).count().where("count > 1").isEmpty():
+        rows = rows.select("__id", "__d", "__w").distinct()
+        rows = cut(rows.join(rows.groupBy("__id").agg(F.sum("__w").alias("__t")), "__id"))
+    packed = rows.select("__id", "__d", F.shiftleft("__t", LENGTH_BITS).bitwiseOR(F.col("__w")).alias("__tw"))
+    held = cut(packed.groupBy("__d").agg(F.count("*").alias("__n")).where("__n > 1"))
+    shared = lookup(packed, held, ["__d"])
+    shared = cut(shared.select("__id", "__d", "__n", F.col("__tw").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).alias("__w"), F.shiftright("__tw", LENGTH_BITS).alias("__t")))
+
+    sets = ["__h", "__g", "__k", "__s"]  # a digest of 128 bits, the number and the weight of the shared chunks
+    each = shared.groupBy("__id").agg(F.bit_xor(F.xxhash64("__d")).alias("__h"), F.bit_xor(F.xxhash64("__d", F.lit(1))).alias("__g"), F.count("*").alias("__k"), F.sum("__w").alias("__s"), F.max("__t").alias("__t"))
+    each = cut(each)
+    classes = cut(each.groupBy(*sets).agg(F.count("*").alias("__n"), F.min("__id").alias("__class"), F.min("__t").alias("__least")))
+    members = lookup(each, classes.select(*sets, "__n", "__class"), sets)
+
+    heads = classes.select(F.col("__class").alias("__id"), "__least", "__s")
+    of_class = cut(shared.drop("__t").join(heads, "__id"))
+    window = Window.partitionBy("__id")  # the chunks of one document
+    earlier = window.orderBy("__n", "__d").rowsBetween(Window.unboundedPreceding, -1)
+    missed = F.col("__least") - F.col("__s") + F.coalesce(F.sum("__w").over(earlier), F.lit(0))
+    first_few = of_class.withColumn("__missed", missed).where(F.col("__missed") <= F.lit(1 - min_containment) * F.col("__least"))
+    parts = F.ceil(F.col("__n") / PART)
+    probe = first_few.select("__id", "__least", "__d", F.pmod(F.xxhash64("__id"), parts).alias("__part"))
+    other = of_class.select(F.col("__id").alias("__other"), F.col("__s").alias("__most"), "__d", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__part"))
+    met = probe.join(other, ["__d", "__part"]).where((F.col("__id") != F.col("__other")) & (F.col("__most") >= F.lit(min_containment) * F.col("__least")))
+    candidates = met.select("__id", "__other").distinct()
+    both = candidates.join(of_class.select("__id", "__least", "__d", "__w"), "__id").join(of_class.select(F.col("__id").alias("__other"), "__d"), ["__other", "__d"])
+    links = both.groupBy("__id", "__other").agg(F.sum("__w").alias("__shared"), F.first("__least").alias("__least"))
+    within = classes.where("__n > 1").select(F.col("__class").alias("__id"), F.col("__class").alias("__other"), F.col("__s").alias("__shared"), "__least")
+    links = links.unionByName(within).where(F.col("__shared") >= F.lit(min_containment) * F.col("__least"))
+
+    kind = type_of(docs, id_col)
+    columns = named(id_col, ("class_id", "n_bytes", "contained_in", "shared_bytes", "containment"))
+    nothing = [F.lit(None).cast(t) for t in (kind, "long", "double")]
+    told = members.select("__id", F.col("__class"), F.col("__t"), *nothing)
+    linked = links.select("__id", F.col("__id"), F.col("__least"), F.col("__other"), F.col("__shared"), F.col("__shared") / F.col("__least"))
+    return told.toDF(id_col, *columns).unionByName(linked.toDF(id_col, *columns))
