@@ -55,8 +55,8 @@ def test_defined_results(docs):
     left = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert sorted(i for i, _ in left if i is not None) == [1, 3, 4, 5, 6, 7, 8, 9] and sum(i is None for i, _ in left) == 2
     assert [tuple(r) for r in near_dedup.groups(docs).collect()] == [(2, 1)]
-    held = {(r["doc_id"], r["contained_in"]): r["containment"] for r in fingerprints.containment(docs).collect()}
-    assert held == {(1, 2): 1.0, (2, 1): 1.0}
+    held = sorted((r["doc_id"], r["class_id"], r["contained_in"] or 0, r["containment"]) for r in fingerprints.containment(docs).collect())
+    assert held == [(1, 1, 0, None), (1, 1, 1, 1.0), (2, 1, 0, None)]
     judged = {r["doc_id"]: r for r in OPERATORS["language"](docs).where("doc_id in (3, 4, 8, 9, 6)").collect()}
     assert [judged[i]["language"] for i in (3, 4, 8, 9)] == [None] * 4 and not any(judged[i]["accepted"] for i in (3, 4, 8, 9)) and judged[6]["language"] == "fr"
     coded = {r["doc_id"]: r for r in piece_viterbi.encode(docs).where("doc_id in (3, 4, 5)").collect()}
