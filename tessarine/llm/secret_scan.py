@@ -1,8 +1,9 @@
 """Secret scanning by password guess cost.
 
 A value in a credential context (``password=...``, ``api_key: "..."``, ``DB_PASS = ...``,
-``Authorization: Bearer ...``, ``<password>...</password>``) is a secret if it is hard to guess. Its cost, the decimal logarithm of the guesses an
-informed attacker needs, is that of the cheapest way to cut it into
+``Authorization: Bearer ...``, ``<password>...</password>``) is a secret if it is hard to
+guess. Its cost, the decimal logarithm of the guesses an informed attacker needs, is that
+of the cheapest way to cut it into
 
 * dictionary words (log10 of the rank, plus log10 2 for capital letters and for each
   kind of look-alike character used),
@@ -23,13 +24,15 @@ Defined results
 ---------------
 * null or empty texts and texts without a credential context: no findings; redaction
   returns them unchanged (null stays null).
-* a value is an XML element's text to the next tag or line end, the quoted string, or else the run up to white space, quote, comma,
-  semicolon or closing bracket; empty values and values under ``min_length`` are no
-  findings.
+* a value is an XML element's text to the next tag or line end, the quoted string, or else
+  the run up to white space, quote, comma, semicolon or closing bracket; empty values and
+  values under ``min_length`` are no findings. White space is Unicode's, letter case ASCII's.
 * ties between segmentations: the cost is the same; the one with the earliest kind in
   the order of the list above is reported.
 * repeated rows each give their own findings. Empty tables give empty results.
-* :func:`redact` keeps all columns; columns with internal names do not occur.
+* :func:`redact` keeps all columns, and changes the length column only where it masks;
+  columns with internal names do not occur. A result column of :func:`scan` that is
+  called like the id column gets an underscore.
 * very long values are scored whole.
 """
 
@@ -46,16 +49,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 WORDLIST = "/opt/tokenizers/word_bpe_49k.json"
-_NAMES = "password|passwd|passphrase|pwd|secret|token|api[ _-]?key|apikey|(?:access|auth|private|encryption|signing|master|session|account|service|shared|storage|license)[ _-]?key|client[ _-]?secret|credentials?|authorization|(?<![a-z])(?:db|user|root|admin|smtp|ftp|sql)?pass(?![a-z])"
+_NAMES = (
+    "password|passwd|passphrase|pwd|secret|token|api[ _-]?key|apikey|(?:access|auth|private|encryption|signing|master|session|account|service|shared|storage|license)[ _-]?key"
+    "|client[ _-]?secret|credentials?|authorization|(?<![a-z])(?:db|user|root|admin|smtp|ftp|sql)?pass(?![a-z])"
+)
 #: A name with the further parts of its identifier.
 _NAME = rf"(?:{_NAMES})s?(?: ?(?:key|value|id|code|hash|string))?(?:[_.-][a-z0-9]+){{0,4}}"
-_ELEMENT = rf"<[\w:.-]{{0,40}}?{_NAME}(?:\s[^<>]{{0,200}})?>"
-_ASSIGNED = rf"{_NAME}[\"']?\]?[\s ]*(?:=>|:=|=|:)[\s ]*"
+#: White space for both engines: what Python's str calls white space, spelled out, as the JVM's \s is ASCII alone.
+_WS = r"\t-\r\x1c-\x20\x85   -     　"
+_ELEMENT = rf"<[A-Za-z0-9_:.-]{{0,40}}?{_NAME}(?:[{_WS}][^<>]{{0,200}})?>"
+_ASSIGNED = rf"{_NAME}[\"']?\]?[{_WS}]*(?:=>|:=|=|:)[{_WS}]*"
 #: The context, for the JVM's and for Python's regular expressions alike: an XML element, or an assignment or header.
+#: Both fold the case of ASCII letters only, and neither uses a class that means more in one of them.
 CONTEXT = rf"(?i)(?:{_ELEMENT}|{_ASSIGNED})"
-FINDING = re.compile(rf"(?i){_ELEMENT}\s*([^<>\r\n]+)|{_ASSIGNED}(?:(?:bearer|basic|digest|token)[ \t]+(?=[^\s\"',;)\]}}>]))?(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"',;)\]}}>]+))")
-NAME = re.compile(rf"(?i){_NAMES}")
+_VALUE = rf"(?:(?:bearer|basic|digest|token)[ \t]+(?=[^{_WS}\"',;)\]}}>]))?(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^{_WS}\"',;)\]}}>]+))"
+FINDING = re.compile(rf"{_ELEMENT}[{_WS}]*([^<>\r\n]+)|{_ASSIGNED}{_VALUE}", re.I | re.A)
+NAME = re.compile(_NAMES, re.I | re.A)
 
 BREAK = math.log10(2)
 PER_CHAR = 1.0
@@ -64,7 +76,10 @@ MIN_COST = 8.0
 WALK_START, WALK_ON, WALK_TURN = math.log10(47), math.log10(2), math.log10(6)
 MAX_UNIT = 32
 REFERENCE_YEAR = 2025
-COMMON = "123456 password 12345678 qwerty 123456789 12345 1234 111111 1234567 dragon 123123 baseball abc123 football monkey letmein shadow master 696969 mustang michael superman batman trustno1 admin welcome login princess solo passw0rd starwars changeme secret hunter2 example test default guest root user your here placeholder none null true false todo redacted sample dummy foobar".split()
+COMMON = (
+    "123456 password 12345678 qwerty 123456789 12345 1234 111111 1234567 dragon 123123 baseball abc123 football monkey letmein shadow master 696969 mustang michael superman batman trustno1 "
+    "admin welcome login princess solo passw0rd starwars changeme secret hunter2 example test default guest root user your here placeholder none null true false todo redacted sample dummy foobar"
+).split()
 _LEET = str.maketrans("430157$@!", "aeoistsai")
 _SHIFTED = dict(zip('~!@#$%^&*()_+QWERTYUIOP{}|ASDFGHJKL:"ZXCVBNM<>?', "`1234567890-=qwertyuiop[]\\asdfghjkl;'zxcvbnm,./"))
 _ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
@@ -255,7 +270,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
 
     text = F.col(text_col)
     found = docs.where(text.rlike(CONTEXT)).select(F.col(id_col).alias("__id"), F.explode(look(text)).alias("__found"))
-    return found.select(F.col("__id").alias(id_col), "__found.*")
+    fields = [f.split()[0].strip("`") for f in FIELDS.split(", ")]
+    return found.select(F.col("__id").alias(id_col), *[F.col(f"__found.{f}").alias(n) for f, n in zip(fields, named(id_col, tuple(fields)))])
 
 
 FIELDS = "name string, start long, `end` long, log10_guesses double, n_parts long, kinds string, is_secret boolean"
@@ -266,8 +282,8 @@ def _row(finding: tuple, min_cost: float) -> dict:
     return {"name": name, "start": start, "end": end, "log10_guesses": cost, "n_parts": len(parts), "kinds": "+".join(dict.fromkeys(k for k, _, _ in parts)), "is_secret": cost >= min_cost}
 
 
-def redacted(docs: DataFrame, text_col: str = "text", min_cost: float = MIN_COST, min_length: int = 4, wordlist: str | None = WORDLIST, mask: str = "[SECRET]") -> Column:
-    """The text with every secret value replaced by ``mask``."""
+def _masked(docs: DataFrame, text_col: str, min_cost: float, min_length: int, wordlist: str | None, mask: str) -> Column:
+    """The text with every secret value replaced by ``mask``; null where there is none."""
     shared = docs.sparkSession.sparkContext.broadcast(load_words(wordlist))
     state: list[GuessCost] = []
 
@@ -277,26 +293,31 @@ def redacted(docs: DataFrame, text_col: str = "text", min_cost: float = MIN_COST
             state.append(GuessCost(shared.value))
 
         def one(text: str | None) -> str | None:
-            if text is None:
-                return None
             out, at = [], 0
-            for _, a, b, _, cost, _ in findings_of(text, state[0], min_length):
+            for _, a, b, _, cost, _ in findings_of(text or "", state[0], min_length):
                 if cost >= min_cost:
                     out += [text[at:a], mask]
                     at = b
-            return "".join([*out, text[at:]])
+            return "".join([*out, text[at:]]) if out else None
 
         for texts in batches:
-            yield texts.map(one, na_action="ignore")
+            yield pd.Series([one(t) for t in texts], dtype=object)
 
     text = F.col(text_col)
-    return F.coalesce(hide(F.when(text.rlike(CONTEXT), text)), text)
+    return hide(F.when(text.rlike(CONTEXT), text))
+
+
+def redacted(docs: DataFrame, text_col: str = "text", min_cost: float = MIN_COST, min_length: int = 4, wordlist: str | None = WORDLIST, mask: str = "[SECRET]") -> Column:
+    """The text with every secret value replaced by ``mask``."""
+    return F.coalesce(_masked(docs, text_col, min_cost, min_length, wordlist, mask), F.col(text_col))
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mask: str = "[SECRET]", **limits) -> DataFrame:
-    """``docs`` with secrets masked, and the length column, if there is one, brought up to date where a mask is."""
-    out = docs.withColumn(text_col, redacted(docs, text_col, mask=mask, **limits))
+def redact(
+    docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mask: str = "[SECRET]", min_cost: float = MIN_COST, min_length: int = 4, wordlist: str | None = WORDLIST
+) -> DataFrame:
+    """``docs`` with secrets masked, and the length column, if there is one, brought up to date where a mask was put."""
+    masked = _masked(docs, text_col, min_cost, min_length, wordlist, mask)
+    changed = {text_col: F.coalesce(masked, F.col(text_col))}
     if length_col in docs.columns:
-        length = F.length(text_col).cast(docs.schema[length_col].dataType)
-        out = out.withColumn(length_col, F.when(F.col(text_col).contains(mask), length).otherwise(F.col(length_col)))
-    return out
+        changed[length_col] = F.coalesce(F.length(masked).cast(docs.schema[length_col].dataType), F.col(length_col))
+    return docs.withColumns(changed)
