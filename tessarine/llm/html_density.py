@@ -5,16 +5,20 @@ characters and LT tags inside links. Its composite density is
 
     C/T * log_b(C/LC * T/LT),   b = ln(C/(C-LC) * LC + LC_body/C_body * C + e)
 
-(Sun, Song and Liao, 2011; zero denominators count as 1). A node's density sum is the sum
-of its children's densities. The node with the largest sum in ``body`` is the core; the
+(Sun, Song and Liao, 2011; zero denominators count as 1). Characters are counted after
+entities are decoded, without white space. A node's density sum is the sum of its
+children's densities, and its own density where it has no children. The node with the largest sum in ``body`` is the core; the
 least density on the path from ``body`` down to it is the threshold. From ``body``, every
 child whose density reaches the threshold is descended into where it holds the core, and
 the subtree with the largest density sum among its nodes is marked as content.
 
 The parser is a tolerant tokenizer: comments, declarations and the contents of script,
-style and the like are dropped, void elements have no children, ``p``, ``li``, table
-cells and options close implicitly, stray end tags are ignored and open elements end
-with their parents.
+style and the like are dropped, void elements have no children, ``p``, ``li`` and table
+cells close implicitly, stray end tags are ignored and open elements end with their
+parents. A tag ends at the first ``>`` outside quotes; a quote that is never closed is a
+character like any other. Where no such ``>`` follows, all the rest of the page is text.
+Each character is looked at a bounded number of times, so long malformed pages cost time
+in proportion to their length.
 
 Defined results
 ---------------
@@ -22,13 +26,14 @@ Defined results
 * html without ``body``: the root stands for it.
 * ties: the node that comes first in the document wins.
 * repeated rows each give a row; empty tables give empty results; ids are untouched.
-* extra columns are ignored.
+* extra columns are ignored. A result column called like the id column gets an underscore.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,12 +41,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|<", re.S)
+from .common import named
+
+#: A tag without quotes, the common case.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"'<]*)>")
+_OPENING = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "br"}
 #: An element of the key's kind ends an open one of these, up to the nearest of the scope.
-CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _SPACE = re.compile(r"[ \t\r\n\f\v ]+")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
@@ -57,50 +67,83 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag's closing ``>`` is, from ``at`` inside the tag; -1 if nowhere."""
+    while m := _STOP.search(html, at):
+        at = m.end()
+        if m.group() == ">":
+            return m.start()
+        closing = html.find(m.group(), at)
+        if closing >= 0:
+            at = closing + 1
+    return -1
+
+
 def parse(html: str) -> Node:
-    root = here = Node("#root", None)
-    at, n = 0, len(html)
+    root = Node("#root", None)
+    stack = [root]  # the open elements
+    depths: dict[str, list[int]] = {}  # by tag: where in the stack it is open, outermost first
+    n, last_end = len(html), html.rfind(">")
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
+    at = 0
     while at < n:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        text, name = m.group(4), m.group(2)
-        if text is not None:
-            here.parts.append(text)
+        start = html.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            stack[-1].parts.append(unescape(html[at:start]))
+            if start == n:
+                break
+        at = start
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        if name is None:
-            if m.group(0) == "<":
-                here.parts.append("<")
+        if html.startswith(("<!", "<?"), at) and at < last_end:
+            at = html.find(">", at) + 1
             continue
-        name = name.lower()
+        m = _PLAIN_TAG.match(html, at)
+        if m:
+            at, rest = m.end(), m.group(3)
+        else:
+            m = _OPENING.match(html, at)
+            end = _tag_end(html, m.end()) if m and at < last_end else -1
+            if m is None:
+                stack[-1].parts.append("<")
+                at += 1
+                continue
+            if end < 0:
+                stack[-1].parts.append(unescape(html[at:]))
+                break
+            at, rest = end + 1, html[m.end() : end]
+        name = m.group(2).lower()
         if m.group(1):
-            up = here
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if depths.get(name):
+                close(depths[name][-1])
             continue
-        if name in BLOCK and name not in ("br",):
-            up = here
-            while up is not root and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
+        if name in BLOCK and name != "br" and depths.get("p") and depths["p"][-1] == innermost(BLOCK):
+            close(depths["p"][-1])
         if name in CLOSES:
             kinds, scope = CLOSES[name]
-            up, last = here, None
-            while up is not root and up.tag not in scope:
-                if up.tag in kinds:
-                    last = up
-                up = up.parent
-            if last is not None:
-                here = last.parent
-        node = Node(name, here)
-        here.parts.append(node)
+            limit = innermost(scope)
+            inside = [depths[k][bisect_right(depths[k], limit)] for k in kinds if depths.get(k) and depths[k][-1] > limit]
+            if inside:
+                close(min(inside))
+        node = Node(name, stack[-1])
+        stack[-1].parts.append(node)
         if name in RAW:
             end = _ENDS[name].search(html, at)
             at = end.end() if end else n
-        elif name not in VOID and not m.group(3).endswith("/"):
-            here = node
+        elif name not in VOID and not rest.endswith("/"):
+            depths.setdefault(name, []).append(len(stack))
+            stack.append(node)
     return root
 
 
@@ -153,7 +196,7 @@ def text_of(node: Node) -> str:
     while stack:
         part = stack.pop()
         if isinstance(part, str):
-            out.append(_SPACE.sub(" ", unescape(part)))
+            out.append(_SPACE.sub(" ", part))
             continue
         if part.tag in BLOCK:
             out.append("\n")
@@ -210,4 +253,6 @@ def extract_content(pages: DataFrame, id_col: str = "page_id", html_col: str = "
             out = pd.DataFrame([extract(h) for h in pages_html], columns=["text", "n_nodes", "density_sum", "threshold"])
             yield out.astype({"density_sum": "Float64", "threshold": "Float64", "n_nodes": "int64"})
 
-    return pages.select(F.col(id_col), run(F.col(html_col)).alias("__e")).select(F.col(id_col), "__e.*")
+    fields = ("text", "n_nodes", "density_sum", "threshold")
+    found = pages.select(F.col(id_col).alias("__id"), run(F.col(html_col)).alias("__e"))
+    return found.select(F.col("__id").alias(id_col), *[F.col(f"__e.{f}").alias(n) for f, n in zip(fields, named(id_col, fields))])
