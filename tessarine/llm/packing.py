@@ -21,7 +21,11 @@ Defined results
 * repeated ids follow each other in the order of their texts; equal rows are all packed.
 * a document longer than a window spans as many windows as it needs.
 * an empty table gives an empty result; extra columns are ignored.
-* ids are numbers or dates (ranges of them are cut at percentiles).
+* ids are numbers, dates or timestamps (ranges of them are cut at percentiles); others
+  raise TypeError. Rows of one id, or without one, are streamed through one task each,
+  in sorted order; none is held in memory.
+* very long texts are cut like others. A result column called like the id column gets
+  an underscore.
 """
 
 from __future__ import annotations
@@ -29,11 +33,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DateType, LongType, NumericType, TimestampNTZType, TimestampType
 
-from .common import type_of
+from .common import named, type_of
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -51,6 +55,18 @@ def _cut_points(ids: DataFrame, ranges: int) -> list:
     return sorted(set(ids.agg(F.percentile_approx("__id", F.lit(probs), 10000)).first()[0] or []))
 
 
+def _range_of(key: Column, points: list) -> Column:
+    """How many of the sorted points are below the key: first among every 64th, then among the 64 that follow; 0 for null."""
+    step = 64
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda p: p < key))
+
+    coarse = below(F.array(*[F.lit(p) for p in points[step - 1 :: step]])) if len(points) >= step else F.lit(0)
+    start = coarse * F.lit(step)
+    return F.when(key.isNull(), 0).otherwise(start + below(F.slice(F.array(*[F.lit(p) for p in points]), start + 1, step)))
+
+
 def pack(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """The boundary records of all windows.
 
@@ -62,14 +78,16 @@ def pack(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = type_of(docs, id_col)
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        raise TypeError("ids must be numbers, dates or timestamps")
+    epoch = F.lit(0) if isinstance(kind, NumericType) else F.lit("1970-01-01")
+    names = named(id_col, ("window_id", "window_start", "window_end", "doc_start", "doc_end", "text"))
+    columns = [*names[:3], id_col, *names[3:]]
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
 
     points = _cut_points(base.select("__id"), ranges) if ranges > 1 else []
-    at = F.lit(0)
-    if points:
-        edges = F.lit(points)
-        at = F.when(F.col("__id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda p: p < F.col("__id"))))
-    ranged = base.withColumn("__range", at.cast("int"))
+    ranged = base.withColumn("__range", (_range_of(F.col("__id"), points) if points else F.lit(0)).cast("int"))
 
     totals = ranged.select("__range", _count("__text").alias("__n")).groupBy("__range").agg(F.sum("__n").alias("__total")).collect()
     offsets, running = {}, 0
@@ -81,12 +99,12 @@ def pack(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col:
 
     parts = len(points) + 1
     placed = ranged.repartitionById(parts, F.col("__range")).sortWithinPartitions("__range", F.col("__id").asc_nulls_first(), "__text")
-    placed = placed.select("__range", start.cast("long").alias("__start"), F.coalesce("__id", F.lit(0).cast(id_type)).alias("__id"), F.col("__id").isNull().alias("__null"), "__text")
+    placed = placed.select("__range", start.cast("long").alias("__start"), F.coalesce("__id", epoch.cast(id_type)).alias("__id"), F.col("__id").isNull().alias("__null"), "__text")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, offset = None, 0
         for batch in batches:
-            rows = {k: [] for k in ("window_id", "window_start", "window_end", id_col, "doc_start", "doc_end", "text")}
+            rows = {k: [] for k in columns}
             for where, first, key, null, text in zip(batch["__range"], batch["__start"], batch["__id"], batch["__null"], batch["__text"]):
                 if where != here:
                     here, offset = where, int(first)
@@ -99,7 +117,8 @@ def pack(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col:
                         rows[name].append(value)
                     done += take
                     offset += take
-            yield pd.DataFrame({k: pd.Series(v, dtype=object if k in (id_col, "text") else "int64") for k, v in rows.items()})
+            yield pd.DataFrame({k: pd.Series(v, dtype=object if k in (id_col, columns[-1]) else "int64") for k, v in rows.items()})
 
-    schema = f"window_id long, window_start long, window_end long, `{id_col}` {id_type}, doc_start long, doc_end long, text string"
+    kinds = ("long", "long", "long", id_type, "long", "long", "string")
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(columns, kinds))
     return placed.mapInPandas(windows, schema)
