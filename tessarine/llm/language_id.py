@@ -21,6 +21,13 @@ Defined results
 * an empty table gives an empty result; fitting on no labelled rows raises ValueError.
 * extra columns are ignored by :func:`identify`; :func:`keep_accepted` keeps them all.
 * labelled rows with null text or null language are not used for fitting.
+* very long texts are scored whole. Sums run in the order in which a text's words first
+  occur, so equal texts have equal scores whatever a worker has scored before.
+* a result column that is called like the id column gets an underscore.
+
+``min_margin`` is in decimal digits of likelihood a word. Choose it from labelled rows, as
+the margin that a chosen share of them falls short of; the default suits long prose in
+languages that share few words.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_interval
+from .common import named, unit_interval
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -131,10 +138,10 @@ def fit(rows: list[tuple[str, str]], min_count: int = 2, penalty: float = 7.0) -
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 500, min_count: int = 2, penalty: float = 7.0) -> BackoffModel:
-    """Fit on about ``sample_per_language`` rows of each language, chosen by a hash of the id.
+    """Fit on about ``sample_per_language`` texts of each language, chosen by a hash of the whole text.
 
-    The driver holds that sample, whose size does not grow with the table. Languages
-    with fewer rows are used whole.
+    The driver holds that sample, whose size does not grow with the table: equal texts
+    enter once. Languages with fewer rows are used whole. ``id_col`` is not used.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col)).count().collect()}
@@ -143,10 +150,8 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     share = F.lit(0.0)
     for language, n in counts.items():
         share = F.when(F.col(lang_col) == language, F.lit(min(1.0, sample_per_language / n))).otherwise(share)
-    key = F.coalesce(F.col(id_col).cast("string"), F.substring(text_col, 1, 64))
-    sample = labelled.where(unit_interval(key) < share).select(F.col(text_col), F.col(lang_col)).collect()
-    if not sample:
-        sample = labelled.select(F.col(text_col), F.col(lang_col)).limit(sample_per_language).collect()
+    chosen = labelled.where(unit_interval(F.col(text_col)) < share).groupBy(F.col(lang_col).alias("__lang"), F.xxhash64(text_col).alias("__hash"))
+    sample = chosen.agg(F.min(text_col).alias("__text")).select("__text", "__lang").collect()
     return fit([(r[0], r[1]) for r in sorted(sample, key=lambda r: (r[1], r[0]))], min_count, penalty)
 
 
@@ -161,9 +166,10 @@ def score_texts(model: BackoffModel, texts: list[str | None], max_score: float,
         found = words_of(text) if text else []
         if not found:
             continue
-        rows = np.fromiter(map(memo.__getitem__, found), dtype=np.int64, count=len(found))
-        mean = np.bincount(rows, minlength=len(memo)) @ memo.rows[: len(memo)] if len(rows) > 4 * len(memo) else memo.rows[rows].sum(axis=0)
-        mean = mean / len(found)
+        counts = Counter(found)  # in the order of first occurrence, so that sums do not depend on what was seen before
+        rows = np.fromiter(map(memo.__getitem__, counts), dtype=np.int64, count=len(counts))
+        times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        mean = (memo.rows[rows] * times[:, None]).sum(axis=0) / len(found)
         win = int(mean.argmin())
         best[at], score[at], n_words[at] = model.languages[win], mean[win], len(found)
         if n_lang > 1:
@@ -192,7 +198,9 @@ def verdict(docs: DataFrame, model: BackoffModel, text_col: str = "text", max_sc
 
 def identify(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per input row: the id and the verdict's fields (:data:`SCHEMA`)."""
-    return docs.select(F.col(id_col), verdict(docs, model, text_col, **limits).alias("__verdict")).select(F.col(id_col), "__verdict.*")
+    fields = tuple(f.split()[0] for f in SCHEMA.split(", "))
+    judged = docs.select(F.col(id_col).alias("__id"), verdict(docs, model, text_col, **limits).alias("__verdict"))
+    return judged.select(F.col("__id").alias(id_col), *[F.col(f"__verdict.{f}").alias(n) for f, n in zip(fields, named(id_col, fields))])
 
 
 def keep_accepted(docs: DataFrame, model: BackoffModel, text_col: str = "text", **limits) -> DataFrame:
