@@ -4,7 +4,10 @@ Text is escaped as the model prescribes (a dummy prefix, spaces to U+2581) and c
 each run of U+2581, a place that no piece spans. Every distinct word of a batch is
 encoded once. Words of equal length advance together: for each end and each piece length,
 the substring hashes of all those words are looked up in the sorted hashes of the
-model's pieces, and the vectorised maximum keeps the best score and a backpointer.
+model's pieces, and the vectorised maximum keeps the best score and a backpointer. Of
+words that are so long and so few that a step over them is no vector (texts without
+spaces), the substrings of each length are looked up over all starts at once instead, and
+one pass over the pieces found keeps the same scores and backpointers.
 
 The segmentation is the one with the largest sum of piece scores. Of equal sums the one
 whose last piece is longest wins. A character in no piece costs ``unknown`` (the least
@@ -19,7 +22,9 @@ Defined results
 * decoding null: null; ids outside the vocabulary: ignored; control pieces: nothing.
 * text that holds U+2581 itself decodes to a space there, as the format prescribes.
 * repeated rows, ties: as above, the same ids each time. Empty tables: empty results.
-* extra columns are ignored by :func:`encode`; clashing names do not matter.
+* very long texts and words are encoded whole, in time proportional to their length.
+* extra columns are ignored by :func:`encode`; a result column called like the id column
+  gets an underscore.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, mix64, powers
+from .common import _BASE, mix64, named, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -155,8 +160,48 @@ def substring_keys(prefix: np.ndarray, start: int, end: int) -> np.ndarray:
     return mix64(raw + np.uint64(((end - start) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
 
 
+#: Words of at least a tenth of this are encoded one by one if there are fewer than LONG_WORD // length + 2 of their length.
+LONG_WORD = 2000
+
+
+def long_viterbi(pieces: Pieces, word: str) -> np.ndarray:
+    """The best segmentation of one word: what :func:`viterbi` gives, by one pass over the pieces that occur in it."""
+    prefix = rolling(codes_of([word]))[0]
+    length, last = len(word), len(pieces.keys) - 1
+    inverse = powers(_INV, length + 1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for size in range(1, min(pieces.longest, length) + 1):
+        raw = (prefix[size:] - prefix[:-size]) * inverse[: length - size + 1]
+        keys = mix64(raw + np.uint64((size * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
+        at = np.minimum(np.searchsorted(pieces.keys, keys), last)
+        start = np.flatnonzero(pieces.keys[at] == keys)
+        found.append((start + size, start, at[start]))
+    ends, starts, at = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((-starts, ends))  # as in viterbi: of equal sums the longest piece wins
+    best, back, piece = [0.0] + [-np.inf] * length, [0] * (length + 1), [-1] * (length + 1)
+    rows = zip(ends[order].tolist(), starts[order].tolist(), pieces.scores[at[order]].tolist(), pieces.ids[at[order]].tolist())
+    end, start, score, key = next(rows, (length + 1, 0, 0.0, 0))
+    unknown = pieces.unknown
+    for here in range(1, length + 1):
+        top, top_back, top_id = best[here - 1] + unknown, here - 1, -1
+        while end == here:
+            value = best[start] + score
+            if value >= top:
+                top, top_back, top_id = value, start, key
+            end, start, score, key = next(rows, (length + 1, 0, 0.0, 0))
+        best[here], back[here], piece[here] = top, top_back, top_id
+    spots, here = np.full(length, -2, dtype=np.int32), length
+    while here:
+        spots[here - 1] = piece[here]
+        here = back[here]
+    return _with_bytes(pieces, spots, word).astype(np.int32) if (spots == -1).any() else spots[spots != -2]
+
+
 def viterbi(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The best segmentations of words of one length: all ids one after another, and how many each word has."""
+    if len(words[0]) >= LONG_WORD // 10 and len(words) < LONG_WORD // len(words[0]) + 2:
+        each = [long_viterbi(pieces, w) for w in words]
+        return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
     codes = codes_of(words)
     n, length = codes.shape
     prefix = rolling(codes)
@@ -321,4 +366,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 counts = pd.Series([None if i is None else len(i) for i in ids], dtype="Int32")
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_tokens": counts, "round_trip": pd.Series(same, dtype=object)})
 
-    return docs.select(F.col(id_col), run(F.col(text_col)).alias("__e")).select(F.col(id_col), "__e.*")
+    fields = ("ids", "n_tokens", "round_trip")
+    coded = docs.select(F.col(id_col).alias("__id"), run(F.col(text_col)).alias("__e"))
+    return coded.select(F.col("__id").alias(id_col), *[F.col(f"__e.{f}").alias(n) for f, n in zip(fields, named(id_col, fields))])
