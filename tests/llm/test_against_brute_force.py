@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -75,6 +76,26 @@ def test_short_random_values_are_secrets_by_default(spark):
     assert {r["doc_id"] for r in secret_scan.redact(df).where("text like '%[SECRET]%'").collect()} == {0, 1}
 
 
+@pytest.mark.parametrize("space", ["\u00a0", "\u2003", "\u3000", "\x85", "\x1f", "\t "])
+def test_white_space_is_the_same_on_both_sides(spark, space):
+    """What the JVM's filter passes and what Python finds agree: alone, and beside another context."""
+    texts = [f"password{space}= Xk9$mQ2vLp7!tRz", f"password{space}= Xk9$mQ2vLp7!tRz and token = abc1", "pa\u017fsword = Xk9$mQ2vLp7!tRz", "pa\u017fsword = Xk9$mQ2vLp7!tRz and token = abc1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in secret_scan.scan(df).where("is_secret").collect()} == {0, 1}
+    assert [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [t if "\u017f" in t else t.replace("Xk9$mQ2vLp7!tRz", "[SECRET]") for t in texts]
+
+
+def test_lengths_change_only_where_a_mask_is_put(spark):
+    df = spark.createDataFrame([(1, "the [SECRET] of x = y", -5), (2, "password = Xk9$mQ2vLp7!tRz", -5), (3, None, -5)], "doc_id long, text string, n_chars int")
+    assert [r["n_chars"] for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [-5, len("password = [SECRET]"), -5]
+
+
+def test_kinds_of_equal_cost():
+    """One letter of rank 10 costs as much as brute force: the word, which is earlier in the list, is told."""
+    scorer = secret_scan.GuessCost({f"w{i}xyz": i for i in range(1, 10)} | {"q": 10})
+    assert scorer.parts("q") == (1.0, [("word", 0, 1)]) and scorer.parts("#") == (1.0, [("brute", 0, 1)])
+
+
 # 2: fingerprints
 
 
@@ -212,6 +233,42 @@ def test_odd_pages(page, want):
     assert html_density.extract(page)[0] == want
 
 
+@pytest.mark.parametrize("page", ["<a " * 250_000, '<a "' * 250_000, '<a =">" ' * 125_000, "<b>" * 60_000 + "<hr>" * 60_000, "<div>" * 60_000 + "</b>" * 60_000, "<!" * 250_000, "<td><table>" + "<b>" * 60_000 + "<td>" * 30_000])
+def test_long_malformed_pages_take_linear_time(page):
+    began = time.time()
+    html_density.extract(page)
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>a<p>b<ul><li>c<li>d</ul>", [("p", 0), ("p", 0), ("ul", 0), ("li", 1), ("li", 1)]),
+        ("<table><tr><td>a<td>b<tr><td><table><tr><td>c</table>d</table>", [("table", 0), ("tr", 1), ("td", 2), ("td", 2), ("tr", 1), ("td", 2), ("table", 3), ("tr", 4), ("td", 5)]),
+        ("<div><b>x</i></div></b><p title='a>b' id=\"c\">y</p><br/>z", [("div", 0), ("b", 1), ("p", 0), ("br", 0)]),
+        ("<p>a <a href=\"x>link</a> b</p>", [("p", 0), ("a", 1)]),
+        ("<ul><li><p>a<li>b</ul><dl><dt>c<dd>d<dt>e</dl>", [("ul", 0), ("li", 1), ("p", 2), ("li", 1), ("dl", 0), ("dt", 1), ("dd", 1), ("dt", 1)]),
+    ],
+)
+def test_implied_ends(page, want):
+    def walk(node, depth):
+        for p in node.parts:
+            if isinstance(p, html_density.Node):
+                yield p.tag, depth
+                yield from walk(p, depth + 1)
+
+    assert list(walk(html_density.parse(page), 0)) == want
+
+
+def test_ties_take_the_first_node():
+    same = "<div><p>some words of the text that are equal</p><p>some words of the text that are equal</p></div>"
+    body, nodes = html_density.measure(html_density.parse(f"<body>{same}{same}</body>"))
+    divs = [n for n in nodes if n.tag == "div"]
+    assert divs[0].total == divs[1].total and max(nodes, key=lambda n: n.total) in (body, divs[0])
+    counted = html_density.measure(html_density.parse("<body>a&amp;b &#65;</body>"))[0]
+    assert counted.chars == 4
+
+
 # 4: neighbours
 
 
@@ -286,26 +343,47 @@ def test_planned_recall(n):
 # 5: rules
 
 
+def all_rules(toks, bad, min_bad=5, confidence=0.6, sizes=(1, 2, 3, 4)):
+    """Every rule by enumeration, with alike tokens represented by the shortest, pruned by subsets: items to confidence and bad rows."""
+    holders = {t: frozenset(i for i, x in enumerate(toks) if t in x) for t in set().union(*toks)}
+    first = [t for t in sorted(holders) if t == min((u for u in holders if holders[u] == holders[t]), key=lambda u: (len(u), u))]
+    want = {}
+    for size in sizes:
+        for items in combinations(first, size):
+            held = frozenset.intersection(*(holders[t] for t in items))
+            n_bad = sum(bad[i] for i in held)
+            if n_bad >= min_bad and n_bad / len(held) >= confidence:
+                want[items] = (n_bad / len(held), n_bad)
+    return {i: c for i, c in want.items() if not any(set(j) < set(i) and want[j][0] >= c[0] for j in want)}
+
+
 def test_rules(spark):
     rnd = random.Random(6)
-    urls = [(f"https://{h}.example.{z}/{p}/{rnd.randint(1, 99)}?{k}=1", h == "spam" and p == "buy") for h in ("spam", "news", "blog") for z in ("com", "org") for p in ("buy", "read") for k in ("a", "b") for _ in range(6)]
+    bad = lambda h, p, z: (h == "spam" and p == "buy") or (h == "blog" and z == "org" and rnd.random() < 0.8)
+    urls = [(f"https://{h}.example.{z}/{p}/{rnd.randint(1, 99)}?{k}=1", bad(h, p, z)) for h in ("spam", "news", "blog") for z in ("com", "org") for p in ("buy", "read") for k in ("a", "b") for _ in range(6)]
     df = spark.createDataFrame(urls, "url string, bad boolean")
     toks = [set(r[0]) for r in df.select(url_rules.tokens_of(F.col("url"))).collect()]
-    want = {}
-    for size in (1, 2, 3):
-        for items in combinations(sorted(set().union(*toks)), size):
-            n = sum(set(items) <= t for t in toks)
-            bad = sum(set(items) <= t and b for t, (_, b) in zip(toks, urls))
-            if bad >= 5 and bad / n >= 0.6:
-                want[items] = bad / n
-    pruned = {i: c for i, c in want.items() if not any(set(j) < set(i) and want[j] >= c for j in want)}
+    want = all_rules(toks, [b for _, b in urls])
     rules = url_rules.mine(df, min_support=0.002)
-    assert {tuple(r["tokens"]): r["confidence"] for r in rules.collect()} == pytest.approx(pruned)
-    flagged = url_rules.flag(df, rules).collect()
-    assert all(r["blocked"] == any(set(i) <= t for i in pruned) for r, t in zip(sorted(flagged, key=lambda r: r["url"]), [t for _, t in sorted(zip([u for u, _ in urls], toks), key=lambda x: x[0])]))
+    assert {tuple(r["tokens"]): (r["confidence"], r["n_bad"]) for r in rules.collect()} == {k: (pytest.approx(c), n) for k, (c, n) in want.items()}
+    flagged = url_rules.flag(df.withColumn("n", F.monotonically_increasing_id()), rules).collect()
+    assert len(flagged) == len(urls) and any(r["blocked"] for r in flagged) and not all(r["blocked"] for r in flagged)
+    for r in flagged:
+        mine = set(spark_tokens(spark, r["url"]))
+        hits = sorted((-c, -n, i) for i, (c, n) in want.items() if set(i) <= mine)
+        assert r["blocked"] == bool(hits) and tuple(r["matched_rule"] or ()) == (hits[0][2] if hits else ())
     assert url_rules.mine(df.where("not bad")).count() == 0
 
 
+_tokens: dict = {}
+
+
+def spark_tokens(spark, url):
+    if url not in _tokens:
+        _tokens[url] = spark.createDataFrame([(url,)], "u string").select(url_rules.tokens_of(F.col("u"))).first()[0]
+    return _tokens[url]
+
+
 def test_rule_of_four_tokens(spark):
     """Bad only where scheme, host label, path and key come together; every three of them are mostly good."""
     urls = []
@@ -318,6 +396,15 @@ def test_rule_of_four_tokens(spark):
     assert url_rules.flag(df, url_rules.mine(df)).where("blocked <> bad").count() == 0
 
 
+def test_long_urls_are_mined_in_bounded_time(spark):
+    """16 bad URLs with 40 path segments each, of which good URLs have some too."""
+    path = lambda n: "/".join("".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(n))
+    urls = [(f"http://bad.example.com/{path(40)}?x=1", True)] * 16 + [(f"http://good.example.com/{path(3)}?x=1", False)] * 16
+    began = time.time()
+    rules = {tuple(r["tokens"]): r["confidence"] for r in url_rules.mine(spark.createDataFrame(urls, "url string, bad boolean")).collect()}
+    assert time.time() - began < 60 and rules and set(rules.values()) == {1.0}
+
+
 # 7: near duplicates
 
 
@@ -424,12 +511,69 @@ def test_language_accuracy_on_held_out_rows(spark):
 def test_backoff():
     model = language_id.fit([("the cat the dog", "en"), ("le chat le chien", "fr")], min_count=1)
     assert model.word_scores("the").tolist() == [pytest.approx(-math.log10(0.5)), 7.0]
-    grams = Counter(g for w in ("le", "chat", "le", "chien") for g in language_id.grams_of(w, 3))
-    want = np.mean([-math.log10(grams[g] / sum(grams.values())) for g in (" ch", "cha")])
-    assert model.word_scores("chaxy")[1] == pytest.approx(want) or model.grams[3].keys() & set(language_id.grams_of("chaxy", 4))
+    counts = lambda n: Counter(g for w in ("le", "chat", "le", "chien") for g in language_id.grams_of(w, n))
+    four, three = counts(4), counts(3)
+    # " chaxy " has no known 5-gram and one known 4-gram; " chox " has one known 3-gram
+    assert model.word_scores("chaxy")[1] == pytest.approx(-math.log10(four[" cha"] / four.total()))
+    assert model.word_scores("chox")[1] == pytest.approx(-math.log10(three[" ch"] / three.total()))
     assert model.word_scores("ωωω").tolist() == [7.0, 7.0]
 
 
+def slow_identify(rows, text, max_score, min_margin):
+    """Word-first backoff from the counts themselves, one word after another."""
+    words = lambda t: language_id.WORD.findall(t.lower())
+    languages = sorted({lang for _, lang in rows})
+    known = {k: Counter(w for t, lang in rows if lang == k for w in words(t)) for k in languages}
+    grams = {k: [Counter() for _ in range(6)] for k in languages}
+    for k in languages:
+        for w, c in known[k].items():
+            for n in range(1, 6):
+                for g in language_id.grams_of(w, n):
+                    grams[k][n][g] += c * (g != " ")
+    score = lambda counter, item: min(7.0, -math.log10(counter[item] / counter.total())) if counter[item] >= 2 else 7.0
+    found = words(text or "")
+    if not found:
+        return None, None, None, 0, False
+    sums = dict.fromkeys(languages, 0.0)
+    for w in found:
+        if any(known[k][w] >= 2 for k in languages):
+            for k in languages:
+                sums[k] += score(known[k], w)
+            continue
+        for n in range(5, 0, -1):
+            hits = [g for g in language_id.grams_of(w, n) if any(grams[k][n][g] >= 2 for k in languages)]
+            if hits:
+                break
+        for k in languages:
+            sums[k] += sum(score(grams[k][n], g) for g in hits) / len(hits) if hits else 7.0
+    means = sorted((s / len(found), k) for k, s in sums.items())
+    margin = means[1][0] - means[0][0]
+    return means[0][1], means[0][0], margin, len(found), means[0][0] <= max_score and margin >= min_margin
+
+
+def test_identify_against_one_word_at_a_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["text"], r["lang"]) for r in docs.where("text is not null and lang is not null and doc_id % 2 = 0").collect()]
+    model = language_id.fit(rows)
+    texts = [r["text"] for r in docs.where("doc_id % 2 = 1").limit(40).collect()] + ["Zyx qqq der the", "123 !", "", None, "ωω", rows[0][0][:300] + " " + rows[-1][0][:300]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.identify(df, model, max_score=6.0, min_margin=0.15).collect():
+        want = slow_identify(rows, texts[r["doc_id"]], 6.0, 0.15)
+        assert (r["language"], r["score"], r["margin"], r["n_words"], r["accepted"]) == (want[0], want[1] and pytest.approx(want[1]), want[2] and pytest.approx(want[2]), *want[3:])
+
+
+def test_scores_do_not_depend_on_what_was_scored_before(monkeypatch):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(1, 7))) for _ in range(3000)]
+    model = language_id.fit([(" ".join(rnd.choices(words, k=4000)), "x"), (" ".join(rnd.choices(words, k=4000)), "y")])
+    text = " ".join(rnd.choices(words[:50], k=900))
+    alone = language_id.score_texts(model, [text], 9, 0)
+    language_id.score_texts(model, [" ".join(words[::-1])], 9, 0)
+    after = language_id.score_texts(model, [text], 9, 0)
+    monkeypatch.setattr(language_id, "KEPT_WORDS", 10)
+    assert alone.equals(after) and alone.equals(language_id.score_texts(model, [text], 9, 0))
+
+
 # 9: pieces
 
 
@@ -482,6 +626,21 @@ def test_slices_and_forgetting_change_nothing(pieces, monkeypatch):
     assert [None if x is None else x.tolist() for x in piece_viterbi.encode_texts(fresh, texts)] == [None if x is None else x.tolist() for x in want]
 
 
+def test_long_words(pieces, monkeypatch):
+    """The way for long words gives what the batched one gives, and a million characters without a space take seconds."""
+    rnd = random.Random(6)
+    for size in (1, 2, 30, 250, 1200):
+        words = ["▁" + "".join(rnd.choices("abcdefghijklmnopqrst漢é\U0001f600", k=size)) for _ in range(3)] + ["a" * (size + 1)]
+        each = [piece_viterbi.long_viterbi(pieces, w) for w in words]
+        with monkeypatch.context() as m:
+            m.setattr(piece_viterbi, "LONG_WORD", 0)
+            flat, sizes = piece_viterbi.viterbi(pieces, words)
+        assert np.concatenate(each).tolist() == flat.tolist() and [len(x) for x in each] == sizes.tolist()
+    word, began = "".join(rnd.choices("abcdefghijklmnopqrst漢é", k=1_000_000)), time.time()
+    ids = piece_viterbi.encode_texts(pieces, [word])[0]
+    assert piece_viterbi.decode_ids(pieces, ids) == word and time.time() - began < 60
+
+
 def test_decoded_column(spark):
     df = spark.createDataFrame([("a b\nc",), (None,), ("",)], "text string")
     ids = df.select("text", piece_viterbi.encoded(df).alias("ids"))
@@ -511,6 +670,20 @@ def test_packing(spark):
         packing.pack(df, 0)
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "decimal(9,2)", "double"])
+def test_packing_of_other_ids(spark, kind):
+    df = spark.createDataFrame([(i % 40, f"a{i} b c") for i in range(300)] + [(None, "x y")], "n int, text string")
+    typed = df.select((F.expr("date'2024-01-01' + n") if kind != "decimal(9,2)" and kind != "double" else F.col("n")).cast(kind).alias("doc_id"), "text", "n")
+    rows = sorted(packing.pack(typed, 16, ranges=200).collect(), key=lambda r: (r["window_id"], r["window_start"]))
+    assert " ".join(r["text"] for r in rows) == " ".join(r["text"] for r in df.orderBy(F.col("n").asc_nulls_first(), "text").collect())
+    assert rows[0]["doc_id"] is None and rows[-1]["doc_id"] == typed.agg(F.max("doc_id")).first()[0]
+
+
+def test_packing_of_string_ids(spark):
+    with pytest.raises(TypeError):
+        packing.pack(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def slow_jump(key, n):
     b, j = -1, 0
     while j < n:
@@ -530,3 +703,13 @@ def test_jump_hash(spark):
     out = sharding.assign(df, 8).withColumn("p", F.spark_partition_id())
     assert out.select("shard", "p").distinct().count() == 8
     assert sharding.moved(df, 8, 10).where("shard_after < 8").count() == 0
+
+
+def test_odd_keys(spark):
+    """Empty and very long strings are keys like any other, null is in shard 0, and equal keys are together."""
+    import hashlib
+
+    keys = ["", "x" * 1_000_000, "é", None, "", " "]
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id string")
+    got = [r["shard"] for r in sharding.assign(df, 7, together=False).collect()]
+    assert got == [0 if k is None else slow_jump(int(hashlib.md5(k.encode()).hexdigest()[:15], 16), 7) for k in keys]

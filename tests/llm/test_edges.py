@@ -73,6 +73,38 @@ def test_packing_of_nulls_and_repeats(docs):
     assert all(r["window_end"] - r["window_start"] == r["doc_end"] - r["doc_start"] == len(r["text"].split()) for r in rows)
 
 
+CLASHES = {
+    "scan": (lambda d, c: secret_scan.scan(d, c), ["name", "start", "kinds"]),
+    "fingerprints": (lambda d, c: fingerprints.fingerprints(d, c), ["digest", "n_bytes"]),
+    "containment": (lambda d, c: fingerprints.containment(d, c), ["class_id", "containment"]),
+    "html": (lambda d, c: html_density.extract_content(d, c, "text"), ["n_nodes", "threshold"]),
+    "packing": (lambda d, c: packing.pack(d, 8, c), ["window_id", "doc_start"]),
+    "groups": (lambda d, c: near_dedup.groups(d, c), ["duplicate_of"]),
+    "identify": (lambda d, c: language_id.identify(d, language_id.fit([("the cat", "en"), ("le chat", "fr")], 1), c), ["language", "accepted"]),
+    "encode": (lambda d, c: piece_viterbi.encode(d, c), ["ids", "n_tokens"]),
+}
+
+
+@pytest.mark.parametrize("name", CLASHES)
+def test_an_id_column_called_like_a_result(spark, name):
+    run, columns = CLASHES[name]
+    df = spark.createDataFrame([(1, "password = 'k7#Qz!9w' the cat"), (2, "password = 'k7#Qz!9w' the cat")], "doc_id long, text string")
+    want = run(df, "doc_id")
+    for column in columns:
+        got = run(df.withColumnRenamed("doc_id", column), column)
+        assert len({c.lower() for c in got.columns}) == len(want.columns) and column in got.columns and f"{column}_" in got.columns
+        assert sorted(r[column] for r in got.collect()) == sorted(r["doc_id"] for r in want.collect())
+
+
+def test_rules_on_odd_rows(docs):
+    """Enough bad rows for mining: texts as URLs, with nulls, empty, very long and repeated ones among them."""
+    many = docs.crossJoin(docs.sparkSession.range(6).select(F.col("id").alias("copy"))).select(F.col("text").alias("url"), (F.col("lang") == "fr").alias("bad"))
+    rules = url_rules.mine(many)
+    assert rules.count() > 0
+    out = url_rules.flag(docs, rules, "text")
+    assert {r["doc_id"] for r in out.where("blocked").collect()} == {6, 8, 9} and out.count() == len(TEXTS)
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [2.0, 0.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 0.0]), (8, [float("nan"), 1.0, 0.0]), (9, [1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (10, [0.5, 0.5, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(7) for c in EXTRA})
