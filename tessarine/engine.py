@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import Scope
 from .functions.text import proxy_embedding
-from .operators import lexical, olap
+from .operators import fusion, lexical, olap
 from .plans import nodes as n
 from .plans.parser import SqlError, parse
 from .plans.planner import Planner, Result, Table
@@ -83,11 +83,16 @@ class Engine:
         if not fs.exists(self.spark, self.at(name, "table.json")):
             declared = {c: t for c, t in columns if c not in ("id", "text", "embedding", "sparse")}
             vectors = [c for c, t in columns if stored_type(t) == "array<float>"]
-            self.save_meta(name, {"mode": mode, "columns": declared, "vector": vectors[0] if vectors else "embedding", "next_id": 0, "data": "data", "indexes": [], "workers": 1})
+            self.save_meta(name, {"mode": mode, "columns": declared, "vector": vectors[0] if vectors else "embedding", "next_id": 0, "parts": [], "indexes": [], "workers": 1})
         return f"table {name} is ready"
 
-    def add(self, name: str, docs: DataFrame | list) -> int:
-        """Append documents, numbered from the table's next id; declared columns are cast, bad values become null."""
+    def add(self, name: str, docs: DataFrame | list, **state) -> int:
+        """Append documents, numbered from the table's next id; declared columns are cast, bad values become null.
+
+        The rows are written to a folder of their own, which the table has from the moment
+        that its description is replaced. ``state`` goes into the same description, so a
+        run that breaks off has neither added rows nor noted that it did.
+        """
         meta = self.meta(name)
         df = readers.rows(self.spark, docs) if isinstance(docs, list) else docs
         if "id" in df.columns:  # a caller's id is metadata
@@ -108,10 +113,10 @@ class Engine:
         shift = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift"))
         numbered = rows.withColumn("__part", F.shiftright("__row", 33)).join(F.broadcast(shift), "__part")
         out = numbered.withColumn("id", F.lit(meta["next_id"]) + F.col("__shift") + F.col("__row").bitwiseAND(low)).drop("__part", "__shift", "__row")
-        out.select("id", *[c for c in out.columns if c != "id"]).write.mode("append").parquet(self.at(name, meta["data"]))
+        out.select("id", *[c for c in out.columns if c != "id"]).write.parquet(self.at(name, new := f"part-{uuid.uuid4().hex}"))
         added = rows.count()
         fs.delete(self.spark, staged)
-        self.save_meta(name, meta | {"next_id": meta["next_id"] + added, "stale": True})
+        self.save_meta(name, meta | {"next_id": meta["next_id"] + added, "parts": [*meta["parts"], new], "stale": True} | state)
         return added
 
     @contextmanager
@@ -134,16 +139,18 @@ class Engine:
     def raw(self, name: str) -> DataFrame:
         """All rows of a table on disk, deleted ones too, with declared types."""
         meta = self.meta(name)
-        at = self.at(name, meta["data"])
-        if not fs.exists(self.spark, at):
+        if not meta["parts"]:
             kinds = "".join(f", `{c}` {stored_type(t)}" for c, t in meta["columns"].items())
             return self.spark.createDataFrame([], f"id bigint, text string{kinds}")
-        df = self.spark.read.option("mergeSchema", "true").parquet(at)
+        df = self.spark.read.option("mergeSchema", "true").parquet(*[self.at(name, p) for p in meta["parts"]])
         for c, t in meta["columns"].items():
             if c in df.columns and df.schema[c].dataType.simpleString() != stored_type(t):
                 df = df.withColumn(c, F.col(c).try_cast(stored_type(t)))
         return df
 
+    def files(self, name: str) -> list[str]:
+        return [f for p in self.meta(name)["parts"] for f in fs.names(self.spark, self.at(name, p)) if f.endswith(".parquet")]
+
     def table(self, name: str) -> Table:
         if name in self.registered:
             return self.registered[name]
@@ -155,7 +162,7 @@ class Engine:
             df = df.join(gone, "id", "left_anti")
         have = lambda c: c if c in df.columns else None
         index = self.at(name, "index", "text") if "text" in meta["indexes"] and not meta.get("stale") else None
-        return Table(df, "id", have("text"), have(meta["vector"]), have("sparse"), have("metadata"), index)
+        return Table(df, "id", have("text"), have(meta["vector"]), have("sparse"), have("metadata"), index, unique=True)
 
     def delete(self, name: str, ids: list[int]) -> int:
         """Mark ids as deleted; counts those that were there."""
@@ -173,19 +180,18 @@ class Engine:
         a table that has neither deletions nor many small files is left as it is.
         """
         meta = self.meta(name)
-        old = self.at(name, meta["data"])
-        files = [f for f in fs.names(self.spark, old) if f.endswith(".parquet")]
+        old = [self.at(name, p) for p in meta["parts"]]
+        files = self.files(name)
         if not files:
             return f"table {name} is empty"
         if not full and self.tombstones(name) is None and len(files) < 4:
             return f"table {name} needs no compaction"
-        hadoop, at = fs._of(self.spark, old)
-        parts = max(1, -(-hadoop.getContentSummary(at).getLength() // TARGET_BYTES))
-        new = f"data-{uuid.uuid4().hex}"
+        parts = max(1, -(-sum(fs.size(self.spark, at) for at in old) // TARGET_BYTES))
+        new = f"part-{uuid.uuid4().hex}"
         self.table(name).df.repartitionByRange(parts, "id").sortWithinPartitions("id").write.parquet(self.at(name, new))
-        self.save_meta(name, meta | {"data": new})
-        fs.delete(self.spark, self.at(name, "tombstones"))
-        fs.delete(self.spark, old)
+        self.save_meta(name, meta | {"parts": [new]})
+        for at in [self.at(name, "tombstones"), *old]:
+            fs.delete(self.spark, at)
         return f"table {name} is compacted into {parts} files"
 
     def alter_type(self, name: str, column: str, declared: str, rewrite: bool = False) -> str:
@@ -226,7 +232,7 @@ class Engine:
         facts = [("rows", str(t.df.count())), *((f"column {c}", kind) for c, kind in t.df.dtypes)]
         if name not in self.registered:
             meta = self.meta(name)
-            files = [f for f in fs.names(self.spark, self.at(name, meta["data"])) if f.endswith(".parquet")]
+            files = self.files(name)
             facts += [("mode", meta["mode"]), ("files", str(len(files))), ("workers", str(meta["workers"])), ("indexes", ",".join(meta["indexes"]) or "none")]
         return self.spark.createDataFrame(facts, "property string, value string")
 
@@ -247,9 +253,8 @@ class Engine:
             raise SqlError("a materialized view holds a search")
         q.items = [n.Item(n.Col("id")), n.Item(n.Col("score"))]
         hits = self.planner().plan(q).df
-        order = Window.orderBy(F.desc("score"), "id")  # a page: its size is the statement's limit
         new = f"data-{uuid.uuid4().hex}"
-        hits.withColumn("rank", F.row_number().over(order)).write.parquet(self.view_at(name, new))
+        fusion.ranked(hits, "id").write.parquet(self.view_at(name, new))
         old = fs.read_json(self.spark, self.view_at(name, "view.json"))["data"] if fs.exists(self.spark, self.view_at(name, "view.json")) else None
         fs.write_json(self.spark, self.view_at(name, "view.json"), {"query": text, "table": q.table, "data": new})
         if old:

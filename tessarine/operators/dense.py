@@ -11,9 +11,10 @@ from ..functions import vectors
 EXACT = ("dense", "vector", "hnsw", "ann", "diskann", "ivf", "muvera", "dot")
 
 
-def scored(docs: DataFrame, query: list[float], id_col: str = "id", vec_col: str = "embedding", dims: int | None = None) -> DataFrame:
-    """(id_col, score): inner products; rows with null vectors or of another length are left out. A map-only scan."""
-    return docs.select(F.col(id_col), vectors.dot(F.col(vec_col), query, dims).alias("score")).where("score is not null")
+def scored(docs: DataFrame, query: list[float], id_col: str = "id", vec_col: str = "embedding", dims: int | None = None, keep_all: bool = False) -> DataFrame:
+    """(id_col, score), or all columns and the score: inner products; rows with null vectors or of another length are left out. A map-only scan."""
+    columns = [F.col(c) for c in docs.columns if c.lower() != "score"] if keep_all else [F.col(id_col)]
+    return docs.select(*columns, vectors.dot(F.col(vec_col), query, dims).alias("score")).where("score is not null")
 
 
 def top(scores: DataFrame, k: int, id_col: str = "id") -> DataFrame:

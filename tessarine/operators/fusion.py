@@ -52,12 +52,16 @@ def graph_expand(candidates: DataFrame, docs: DataFrame, depth: int, id_col: str
 
     The nearest come first, ties by id, ``most`` of them.
     """
+    return candidates.select(id_col, "score").unionByName(near(candidates, docs, depth, id_col, most))
+
+
+def near(candidates: DataFrame, docs: DataFrame, depth: int, id_col: str = "id", most: int = MOST_NEIGHBOURS) -> DataFrame:
+    """(id_col, score): the ids that :func:`graph_expand` adds."""
     key = F.col(id_col)
     near = candidates.select(key.alias("__seed"), F.explode(F.sequence(key - depth, key + depth)).alias(id_col)).where("__seed <> " + f"`{id_col}`")
     near = near.groupBy(id_col).agg(F.min(F.abs(key - F.col("__seed"))).alias("__away"))
     near = near.join(candidates.select(id_col), id_col, "left_anti").join(docs.select(id_col), id_col, "left_semi")
-    near = near.orderBy("__away", id_col).limit(most).select(id_col, F.lit(NEIGHBOUR_SCORE).alias("score"))
-    return candidates.select(id_col, "score").unionByName(near)
+    return near.orderBy("__away", id_col).limit(most).select(id_col, F.lit(NEIGHBOUR_SCORE).alias("score"))
 
 
 def boost_factor(scope: Scope, boosts: list[tuple[str, float]]) -> Column:

@@ -104,8 +104,10 @@ def kept_terms(terms: Counter, stats: Stats, most: int = MOST_TERMS) -> list[str
     return sorted(sorted(found, key=lambda w: (-stats.idf(w), w))[:most])
 
 
-def bm25(docs: DataFrame, query: str | list[str], id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B, corpus: DataFrame | None = None) -> DataFrame:
-    """(id_col, score) of every document that holds a term of the query.
+def bm25(
+    docs: DataFrame, query: str | list[str], id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B, corpus: DataFrame | None = None, keep_all: bool = False
+) -> DataFrame:
+    """(id_col, score) of every document that holds a term of the query; with ``keep_all`` all columns and the score.
 
     corpus: the table whose statistics count, ``docs`` by default; a filtered ``docs``
     keeps the scores of the whole corpus. Null texts count as empty documents. No terms:
@@ -114,15 +116,16 @@ def bm25(docs: DataFrame, query: str | list[str], id_col: str = "id", text_col:
     terms = Counter(tokens_of(query) if isinstance(query, str) else query)
     stats = statistics(corpus if corpus is not None else docs, sorted(terms), text_col)
     keep = kept_terms(terms, stats)
+    columns = [F.col(c) for c in docs.columns if c.lower() != "score"] if keep_all else [F.col(id_col)]
     if not keep:
-        return docs.select(F.col(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
+        return docs.select(*columns, F.lit(0.0).alias("score")).where(F.lit(False))
     # rows without any of the terms are passed over before they are tokenised
     near = docs.where(F.col(text_col).rlike("(?i)" + "|".join(keep)))
-    rows = _hits(near, [F.col(id_col)], text_col, keep).where(F.size("__hits") > 0)
+    rows = _hits(near, columns, text_col, keep).where(F.size("__hits") > 0)
     score, scale = F.lit(0.0), max(stats.mean_length, 1.0)
     for w in keep:
         score = score + _term_score(_count_of(F.col("__hits"), w), F.col("__dl"), terms[w], stats.idf(w), k1, b, scale)
-    return rows.select(F.col(id_col), score.alias("score"))
+    return rows.select(*columns, score.alias("score"))
 
 
 def _term_score(tf: Column, dl: Column, qf: int, idf: float, k1: float, b: float, scale: float) -> Column:
@@ -152,40 +155,42 @@ def bm25_indexed(spark, path: str, query: str, k1: float = K1, b: float = B) ->
 
 def expanded_query(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text", feedback: int = 3, k1: float = K1, b: float = B) -> list[str]:
     """The query's terms, then those of more than 3 bytes of its best documents, each once, in order of appearance."""
-    best = bm25(docs, query, id_col, text_col, k1, b).orderBy(F.desc("score"), id_col).limit(feedback)
-    rank = {r[0]: i for i, r in enumerate(best.collect())}
-    texts = docs.where(F.col(id_col).isin(list(rank))).select(id_col, text_col).collect() if rank else []
+    best = bm25(docs.select(id_col, text_col), query, id_col, text_col, k1, b, keep_all=True).orderBy(F.desc("score"), id_col).limit(feedback)
+    long = F.filter(F.array_distinct(tokens(F.col(text_col))), lambda t: F.octet_length(t) > 3)
     out = dict.fromkeys(tokens_of(query))
-    for row in sorted(texts, key=lambda r: rank[r[0]]):
-        out |= dict.fromkeys(t for t in tokens_of(row[1]) if len(t.encode()) > 3)
+    for row in best.select(id_col, "score", long.alias("__long")).orderBy(F.desc("score"), id_col).collect():
+        out |= dict.fromkeys(row["__long"])
     return list(out)
 
 
 def sparse_weights(text: Column) -> Column:
     """A map from each token to its count as a float: weights where a model gives none. Null for null."""
 
-    @F.pandas_udf("array<struct<k:string,v:float>>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<k:array<string>,v:array<float>>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield texts.map(lambda t: [{"k": k, "v": float(v)} for k, v in Counter(tokens_of(t)).items()], na_action="ignore")
+            found = [Counter(tokens_of(t)) for t in texts]
+            yield pd.DataFrame({"k": [list(c) for c in found], "v": [list(map(float, c.values())) for c in found]})
 
-    return F.map_from_entries(count(text))
+    counted = count(text)
+    return F.when(text.isNotNull(), F.map_from_arrays(counted["k"], counted["v"]))
 
 
 def _query_map(weights: dict[str, float]) -> dict[str, float]:
     return dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MOST_SPARSE])
 
 
-def splade(docs: DataFrame, weights: dict[str, float], id_col: str = "id", sparse_col: str = "sparse") -> DataFrame:
-    """(id_col, score): the product of the query's and the document's weights over shared tokens; a map-only scan."""
+def splade(docs: DataFrame, weights: dict[str, float], id_col: str = "id", sparse_col: str = "sparse", keep_all: bool = False) -> DataFrame:
+    """(id_col, score), or all columns and the score: the product of the weights over shared tokens; a map-only scan."""
     query = _query_map(weights)
+    columns = [F.col(c) for c in docs.columns if c.lower() != "score"] if keep_all else [F.col(id_col)]
     if not query:
-        return docs.select(F.col(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
+        return docs.select(*columns, F.lit(0.0).alias("score")).where(F.lit(False))
     total = F.lit(0.0)
     for token, weight in sorted(query.items()):
         total = total + F.coalesce(F.element_at(F.col(sparse_col), token).cast("double"), F.lit(0.0)) * F.lit(float(weight))
     hit = F.arrays_overlap(F.map_keys(F.col(sparse_col)), F.lit(list(query)))
-    return docs.where(hit).select(F.col(id_col), total.alias("score"))
+    return docs.where(hit).select(*columns, total.alias("score"))
 
 
 def seismic(docs: DataFrame, weights: dict[str, float], id_col: str = "id", sparse_col: str = "sparse", cut: int = SEISMIC_CUT) -> DataFrame:

@@ -138,6 +138,7 @@ class Select:
     having: Predicate | None = None
     order_by: list[tuple[Expr, bool]] = field(default_factory=list)  # (key, descending)
     limit: int | None = None
+    limit_given: bool = False
     offset: int = 0
     lexical: Lexical | None = None
     dense: Dense | None = None

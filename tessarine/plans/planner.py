@@ -1,7 +1,10 @@
 """From a :class:`Select` to DataFrames.
 
-Filters and semi-joins come before ranking; narrow (id, score) rows are ranked, and the
-wide columns joined to what is kept. Facets and DISTINCT see all matches.
+Filters and semi-joins come before ranking. A score is a column of the row it belongs to,
+so rows are told apart even where their ids are equal, and what is shown is read in the
+same scan. Only where lists are fused, or come from an index, rows meet again by a key:
+the id where it is unique, or else the id with a digest of the whole row. Facets and
+DISTINCT see all matches.
 """
 
 from __future__ import annotations
@@ -15,10 +18,9 @@ from ..functions.scalar import Scope
 from ..functions.text import hashed_vector, highlight, tokens_of
 from ..operators import dense, fusion, lexical, olap
 from . import nodes as n
-from .parser import DEFAULT_LIMIT, SqlError
+from .parser import SqlError
 
-#: Up to so many rows of a page are broadcast to fetch their columns.
-PAGE_BROADCAST = 10_000
+ROW = "__row"
 
 
 @dataclass
@@ -32,7 +34,12 @@ class Table:
     sparse_col: str | None = None
     meta_col: str | None = None
     index: str | None = None
-    rows_known: int | None = None
+    unique: bool | None = None  # whether ids are; None: not looked at yet
+
+    def has_unique_ids(self) -> bool:
+        if self.unique is None:
+            self.unique = self.df.groupBy(self.id_col).count().where("count > 1").isEmpty()
+        return self.unique
 
     def scope(self, now_ms: int) -> Scope:
         return Scope(self.df, self.id_col, self.text_col, self.meta_col, now_ms)
@@ -99,7 +106,7 @@ class Planner:
             inner = ctes[name]
             parent = self.table(inner.table, {k: v for k, v in ctes.items() if k != name})
             rest = {k: v for k, v in ctes.items() if k != name}
-            if inner.limit == DEFAULT_LIMIT and not inner.searches:  # the limit of a statement that gives none
+            if not inner.limit_given and not inner.searches:
                 inner = n.Select(**{**inner.__dict__, "limit": None})
             df = self.plan(inner, rest).df
             have = set(df.columns)
@@ -111,8 +118,7 @@ class Planner:
 
     def aggregated(self, q: n.Select, base: Table, scope: Scope, docs: DataFrame) -> Result:
         if q.searches:
-            hits, _ = self.hits(q, base, docs)
-            docs = docs.join(hits.select(base.id_col), base.id_col, "left_semi")
+            docs, _ = self.hits(q, base, docs)
         keys = q.group_by
         for i in q.items or []:
             if not isinstance(i.expr, n.Agg) and i.expr not in keys:
@@ -143,9 +149,6 @@ class Planner:
 
     def search(self, q: n.Select, base: Table, scope: Scope, docs: DataFrame) -> Result:
         hits, stages = self.hits(q, base, docs)
-        wide = bool(q.boosts or q.decay or q.facets or q.distinct or (q.order_by and q.order_by[0][0] != n.Col("score")) or q.rescore)
-        if wide:
-            hits = docs.join(hits, base.id_col)
         if q.rescore and q.dense is not None:
             hits = fusion.rescored(hits, base.vec_col, self.query_vector(q))
             stages.append(("rescored", hits))
@@ -158,10 +161,6 @@ class Planner:
             hits = olap.distinct_first(hits, self.shown_exprs(q, base, scope), order)
         hits = page(hits, order, q.limit if q.limit != 0 else 1, q.offset)
         stages.append(("page", hits))
-        if not wide:  # fetch the columns of the page alone
-            small = q.limit is not None and q.limit <= PAGE_BROADCAST
-            hits = docs.join(F.broadcast(hits) if small else hits, base.id_col)
-            hits = hits.orderBy(*order)
         shown = self.shown(q, base, scope)
         if q.boosts or q.decay:
             shown += [c for c in (F.col("base"), F.col("boost"), F.col("decay")) if q.items is None]
@@ -175,41 +174,67 @@ class Planner:
     def query_vector(self, q: n.Select) -> list[float]:
         return q.dense.vector if q.dense.vector is not None else hashed_vector(q.dense.text or "", 64)
 
+    def keyed(self, base: Table, docs: DataFrame) -> tuple[DataFrame, str]:
+        """``docs`` and the name of a column that tells its rows apart, but for rows that are equal in all columns."""
+        if base.has_unique_ids():
+            return docs, base.id_col
+        columns = [F.to_json(F.col(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+        return docs.withColumn(ROW, F.struct(F.col(base.id_col), F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))), ROW
+
     def hits(self, q: n.Select, base: Table, docs: DataFrame) -> tuple[DataFrame, list]:
-        """(id, score) of all matches, and the stages that led there."""
-        lists, stages = [], []
-        if q.lexical is not None:
-            lists.append(self.lexical(q, base, docs))
-            stages.append((q.lexical.method, lists[-1]))
-        if q.dense is not None:
-            if not base.vec_col:
-                raise SqlError(f"{q.table} has no vector column")
-            lists.append(dense.scored(docs, self.query_vector(q), base.id_col, base.vec_col, q.dense.dims))
-            stages.append(("dense", lists[-1]))
-        if len(lists) > 1 or q.score == "rrf":
-            hits = fusion.rrf(lists, q.fusion_k, base.id_col)
-            stages.append(("fused", hits))
+        """All matches with their columns and score, and the stages that led there."""
+        stages: list = []
+        if q.dense is not None and not base.vec_col:
+            raise SqlError(f"{q.table} has no vector column")
+        if (q.lexical is not None and q.dense is not None) or q.score == "rrf":
+            docs, key = self.keyed(base, docs)
+            lists = []
+            if q.lexical is not None:
+                lists.append(self.lexical(q, base, docs, key))
+                stages.append((q.lexical.method, lists[-1]))
+            if q.dense is not None:
+                lists.append(dense.scored(docs, self.query_vector(q), key, base.vec_col, q.dense.dims))
+                stages.append(("dense", lists[-1]))
+            if key == ROW:  # equal rows have equal scores
+                lists = [x.dropDuplicates([ROW]) for x in lists]
+            fused = fusion.rrf(lists, q.fusion_k, key)
+            hits = docs.drop("score").join(fused, key).drop(ROW)
+            stages = [(name, x.withColumn(base.id_col, F.col(f"{ROW}.{base.id_col}")) if key == ROW else x) for name, x in stages] + [("fused", hits)]
+        elif q.lexical is not None:
+            hits = self.lexical(q, base, docs)
+            stages.append((q.lexical.method, hits))
         else:
-            hits = lists[0]
+            hits = dense.scored(docs, self.query_vector(q), base.id_col, base.vec_col, q.dense.dims, keep_all=True)
+            stages.append(("dense", hits))
         if q.crag:
             hits = fusion.crag(hits, base.id_col)
             stages.append(("crag", hits))
         if q.graph_depth:
-            hits = fusion.graph_expand(hits, docs, q.graph_depth, base.id_col)
+            near = fusion.near(hits, docs, q.graph_depth, base.id_col)
+            hits = hits.unionByName(docs.drop("score", ROW).join(F.broadcast(near), base.id_col).select(*hits.columns))
             stages.append(("expanded", hits))
         return hits, stages
 
-    def lexical(self, q: n.Select, base: Table, docs: DataFrame) -> DataFrame:
+    def lexical(self, q: n.Select, base: Table, docs: DataFrame, key: str | None = None) -> DataFrame:
+        """All columns and the score; or, with a key, (key, score)."""
         lx = q.lexical
         k1, b = lexical.K1 if lx.k1 is None else lx.k1, lexical.B if lx.b is None else lx.b
         if lx.method != "bm25" and lx.weights is not None and base.sparse_col:
-            score = lexical.splade if lx.method == "splade" else lexical.seismic
-            return score(docs, lx.weights, base.id_col, base.sparse_col)
+            if lx.method == "splade":
+                return lexical.splade(docs, lx.weights, key or base.id_col, base.sparse_col, keep_all=key is None)
+            return self.by_key(lambda some, k: lexical.seismic(some, lx.weights, k, base.sparse_col), base, docs, key)
         query = lexical.expanded_query(base.df, lx.text, base.id_col, base.text_col, k1=k1, b=b) if q.hyde else lx.text
-        if base.index and not q.hyde:
+        if base.index and not q.hyde:  # indexes are of tables on disk, whose ids are unique
             hits = lexical.bm25_indexed(base.df.sparkSession, base.index, lx.text, k1, b).withColumnRenamed("id", base.id_col)
-            return hits.join(docs.select(base.id_col), base.id_col, "left_semi")
-        return lexical.bm25(docs, query, base.id_col, base.text_col, k1, b, corpus=base.df)
+            return docs.drop("score").join(hits, base.id_col).select(*([base.id_col, "score"] if key else ["*"]))
+        return lexical.bm25(docs, query, key or base.id_col, base.text_col, k1, b, corpus=base.df, keep_all=key is None)
+
+    def by_key(self, scores, base: Table, docs: DataFrame, key: str | None) -> DataFrame:
+        """What ``scores(docs, key)`` gives, joined to all columns if the caller has no key of its own."""
+        if key:
+            return scores(docs, key)
+        docs, key = self.keyed(base, docs)
+        return docs.drop("score").join(scores(docs.dropDuplicates([key]) if key == ROW else docs, key), key).drop(ROW)
 
     def shown_exprs(self, q: n.Select, base: Table, scope: Scope) -> list[Column]:
         if q.items is None:

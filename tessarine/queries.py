@@ -133,6 +133,11 @@ statement("semi_join_group", "SELECT lang, COUNT(*) AS n FROM documents JOIN lab
 statement("cte_compose", "WITH good AS (SELECT doc_id, quality FROM labels WHERE quality = 1 LIMIT ALL) SELECT doc_id, source FROM documents JOIN good ON documents.doc_id = good.doc_id WHERE n_chars > 500 LIMIT ALL",
           "SELECT doc_id, source FROM documents WHERE n_chars > 500 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 
+statement("cte_limit", "WITH x AS (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20) SELECT COUNT(*) AS n FROM x", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20)")
+statement("cte_no_limit", "WITH x AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) SELECT COUNT(*) AS n FROM x", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 100000")
+statement("untyped_compare", "SELECT event_id, substr(props, 1, 4) AS head FROM events WHERE substr(props, 1, 1) = '{' AND nullif(event_type, 'view') != 'click' LIMIT ALL",
+          "SELECT event_id, substr(props, 1, 4) AS head FROM events WHERE substr(props, 1, 1) = '{' AND event_type <> 'view' AND event_type <> 'click'")
+
 # facets
 
 
@@ -266,6 +271,20 @@ def hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_settled(engine(spark, sf_dir).sql(f"SELECT doc_id, score FROM documents SPARSE SEARCH text BM25('{QUERY}') HYDE LIMIT 20").df))
 
 
+_CONV = bm25_sql("values ('the', 1), ('and', 1)").replace("doc_id", "row").replace("from documents", "from (select row_number() over () as row, * from conversations)")
+
+
+@query(f"with {_CONV} select conv_id, turn, role, round(score, 6) as score from hits join (select row_number() over () as row, * from conversations) c using (row)")
+def bm25_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose id column, conv_id, is not unique: each row is a hit of its own."""
+    return _rounded(_settled(engine(spark, sf_dir).sql("SELECT conv_id, turn, role, score FROM conversations SPARSE SEARCH text BM25('the and') LIMIT ALL").df))
+
+
+@query(f"with {_CONV}, c as (select 'role' as field, coalesce(role, '_null') as value, count(*) as count from hits join (select row_number() over () as row, * from conversations) using (row) group by 2) select field, value, count, cast(row_number() over (order by count desc, value) as integer) as rank from c")
+def facets_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).sql("SELECT conv_id FROM conversations SPARSE SEARCH text BM25('the and') FACETS(role) LIMIT 5").facets
+
+
 _WEIGHTS = {"the": 0.5, "thing": 2.0, "enheit": 1.5, "and": 0.25}
 _WEIGHT_ROWS = ", ".join(f"('{k}', {v}::double)" for k, v in _WEIGHTS.items())
 _TF = f"e as (select doc_id, term, count(*)::double as w from (select doc_id, unnest({_TOK_DOCS}) as term from documents) group by 1, 2), q(term, qw) as (values {_WEIGHT_ROWS})"
@@ -423,7 +442,7 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, scratch(spark), NOW)
     e.create_table("d", [("doc_id", "bigint"), ("lang", "text")])
-    e.add("d", table(spark, sf_dir, "documents").coalesce(1).sortWithinPartitions("doc_id"))
+    e.add("d", table(spark, sf_dir, "documents"))
     known = e.table("d").df.where(F.col("doc_id").isin(1, 4, 6)).select("id").collect()
     e.delete("d", [r[0] for r in known])
     return e.sql("SELECT doc_id, lang FROM d LIMIT ALL").df
@@ -458,6 +477,53 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.table("ev").df.select("event_id", "event_type", "value")
 
 
+@query("select doc_id, lang, source from documents where doc_id in (3, 5, 8)")
+def point_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).fetch("documents", [3, 5, 8, 100_000_000]).select("doc_id", "lang", "source")
+
+
+@query("select lang, source from documents where lang = 'en' and source is not null")
+def inline_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``field:value`` and ``#field`` in a query's text filter the rows that are searched."""
+    e, conditions = engine(spark, sf_dir), []
+    rest, present = e.inline_filters("documents", "lang:en #source", conditions)
+    t = e.table("documents")
+    scope = t.scope(NOW)
+    return t.df.where(scope.predicate(conditions[0])).where(olap.tagged(t.df, scope, present)).select("lang", "source") if not rest else t.df.limit(0)
+
+
+@query("select term, count(*) as df from (select distinct doc_id, unnest(" + _TOK_DOCS + ") as term from documents) group by 1")
+def merged_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lexical.merge_frequencies([lexical.document_frequencies(docs.where(f"pmod(doc_id, 3) = {i}")) for i in range(3)])
+
+
+@query("select event_id, event_type from events")
+def full_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, m = Engine(spark, scratch(spark), NOW), readers.Mapping("text", ["event_id", "event_type"])
+    events = table(spark, sf_dir, "events").withColumn("text", F.col("event_type"))
+    for _ in range(2):
+        sync.full_sync(e, "ev", events, m)
+    return e.table("ev").df.select("event_id", "event_type")
+
+
+@query("select 'd' as table, count(*) as rows from documents")
+def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark), NOW)
+    e.sql("CREATE TABLE d (lang text) USING text")
+    e.add("d", table(spark, sf_dir, "documents"))
+    return e.sql("SHOW TABLES").df
+
+
+@query("select doc_id, cast(n_chars as double) as n_chars from documents")
+def alter_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark, scratch(spark), NOW)
+    e.sql("CREATE TABLE d (n_chars int)")
+    e.add("d", table(spark, sf_dir, "documents"))
+    e.sql("ALTER TABLE d ALTER COLUMN n_chars TYPE double REWRITE")
+    return e.sql("SELECT doc_id, n_chars FROM d LIMIT ALL").df
+
+
 @query("select event_id, value from events")
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)

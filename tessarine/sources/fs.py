@@ -28,6 +28,12 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """The bytes of all files below a folder."""
+    fs, at = _of(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     fs, at = _of(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
@@ -51,6 +57,8 @@ def write_json(spark: SparkSession, path: str, value) -> None:
         stream.write(bytearray(json.dumps(value).encode()))
     finally:
         stream.close()
-    fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise OSError(f"cannot write {path}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(beside, at, over)

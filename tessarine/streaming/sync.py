@@ -2,7 +2,8 @@
 
 Cursors are compared by their type, never as text. A streaming run is incremental by
 its checkpoint: every micro-batch is appended once, as batch ids that were already
-committed are passed over.
+committed are passed over. A table's rows and the cursor or batch that they reach to are
+committed in one step (see Engine.add): a run that fails in between leaves neither.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
 from ..operators.lexical import document_frequencies
-from ..sources import fs
 from ..sources.readers import Mapping, mapped
 
 
@@ -45,25 +45,21 @@ def incremental_sync(engine: Engine, table: str, source: DataFrame, mapping: Map
     if not mapping.cursor_column:
         raise ValueError("an incremental run needs a cursor column")
     engine.create_table(table)
-    state_at = engine.at(table, "sync.json")
-    spark = engine.spark
-    state = fs.read_json(spark, state_at) if fs.exists(spark, state_at) else {}
+    last_cursor = engine.meta(table).get("cursor")
     kind = source.schema[mapping.cursor_column].dataType.simpleString()
     cursor = F.col(mapping.cursor_column)
     new = source.where(cursor.isNotNull())
-    if state.get("cursor") is not None:
-        new = new.where(cursor > F.lit(state["cursor"]).cast(kind))
+    if last_cursor is not None:
+        new = new.where(cursor > F.lit(last_cursor).cast(kind))
     if limit is not None:
         last = new.select(cursor.alias("c")).orderBy("c").limit(limit).agg(F.max("c")).first()[0]
         if last is not None:
             new = new.where(cursor <= F.lit(last).cast(kind))
     top = new.agg(F.max(cursor).cast("string")).first()[0]
     if top is None:
-        return Run(0, state.get("cursor"))
+        return Run(0, last_cursor)
     # the batch ends at a known value: rows that arrive meanwhile wait for the next run
-    rows = engine.add(table, mapped(new.where(cursor <= F.lit(top).cast(kind)), mapping))
-    fs.write_json(spark, state_at, {"cursor": top})
-    return Run(rows, top)
+    return Run(engine.add(table, mapped(new.where(cursor <= F.lit(top).cast(kind)), mapping), cursor=top), top)
 
 
 def stream_sync(engine: Engine, table: str, stream: DataFrame, mapping: Mapping, checkpoint: str, every: str | None = None, frequencies: str | None = None) -> StreamingQuery:
@@ -79,10 +75,9 @@ def stream_sync(engine: Engine, table: str, stream: DataFrame, mapping: Mapping,
         if batch_id <= meta.get("last_batch", -1):
             return
         rows = mapped(batch, mapping)
-        engine.add(table, rows)
         if frequencies:
             document_frequencies(rows).write.mode("overwrite").parquet(f"{frequencies}/batch={batch_id}")
-        engine.save_meta(table, engine.meta(table) | {"last_batch": batch_id})
+        engine.add(table, rows, last_batch=batch_id)
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
