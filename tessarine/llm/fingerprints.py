@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lookup, named, type_of
@@ -146,27 +146,32 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = cut(rows.join(rows.groupBy("__id").agg(F.sum("__w").alias("__t")), "__id"))
     packed = rows.select("__id", "__d", F.shiftleft("__t", LENGTH_BITS).bitwiseOR(F.col("__w")).alias("__tw"))
     held = cut(packed.groupBy("__d").agg(F.count("*").alias("__n")).where("__n > 1"))
-    shared = lookup(packed, held, ["__d"])
-    shared = cut(shared.select("__id", "__d", "__n", F.col("__tw").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).alias("__w"), F.shiftright("__tw", LENGTH_BITS).alias("__t")))
+    weight, whole = F.col("__tw").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)), F.shiftright("__tw", LENGTH_BITS)
+    chunk = F.struct("__n", "__d", weight.alias("__w"))
+    each = lookup(packed, held, ["__d"]).groupBy("__id").agg(F.sort_array(F.collect_list(chunk)).alias("__chunks"), F.sum(weight).alias("__s"), F.max(whole).alias("__t"))
 
     sets = ["__h", "__g", "__k", "__s"]  # a digest of 128 bits, the number and the weight of the shared chunks
-    each = shared.groupBy("__id").agg(F.bit_xor(F.xxhash64("__d")).alias("__h"), F.bit_xor(F.xxhash64("__d", F.lit(1))).alias("__g"), F.count("*").alias("__k"), F.sum("__w").alias("__s"), F.max("__t").alias("__t"))
-    each = cut(each)
+    digests, chunks = F.col("__chunks.__d"), F.explode("__chunks").alias("__c")
+    each = cut(each.select("*", F.xxhash64(digests).alias("__h"), F.xxhash64(F.lit(1), digests).alias("__g"), F.size("__chunks").alias("__k")), held)
     classes = cut(each.groupBy(*sets).agg(F.count("*").alias("__n"), F.min("__id").alias("__class"), F.min("__t").alias("__least")))
-    members = lookup(each, classes.select(*sets, "__n", "__class"), sets)
+    members = lookup(each.select("__id", "__t", *sets), classes.select(*sets, "__n", "__class"), sets)
 
     heads = classes.select(F.col("__class").alias("__id"), "__least", "__s")
-    of_class = cut(shared.drop("__t").join(heads, "__id"))
-    window = Window.partitionBy("__id")  # the chunks of one document
-    earlier = window.orderBy("__n", "__d").rowsBetween(Window.unboundedPreceding, -1)
-    missed = F.col("__least") - F.col("__s") + F.coalesce(F.sum("__w").over(earlier), F.lit(0))
-    first_few = of_class.withColumn("__missed", missed).where(F.col("__missed") <= F.lit(1 - min_containment) * F.col("__least"))
+    of_class = cut(each.select("__id", "__chunks").join(heads, "__id"))
+
+    @F.pandas_udf("int")
+    def few(weights: pd.Series, least: pd.Series, held_weight: pd.Series) -> pd.Series:
+        return pd.Series([int(((n - s + np.cumsum(w) - w) <= (1 - min_containment) * n).sum()) for w, n, s in zip(weights, least, held_weight)], dtype="int32")
+
+    first_few = of_class.select("__id", "__least", F.slice("__chunks", 1, few(F.col("__chunks.__w"), "__least", "__s")).alias("__chunks")).select("__id", "__least", chunks).select("__id", "__least", "__c.__d", "__c.__n")
     parts = F.ceil(F.col("__n") / PART)
     probe = first_few.select("__id", "__least", "__d", F.pmod(F.xxhash64("__id"), parts).alias("__part"))
-    other = of_class.select(F.col("__id").alias("__other"), F.col("__s").alias("__most"), "__d", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__part"))
+    all_chunks = of_class.select(F.col("__id").alias("__other"), F.col("__s").alias("__most"), chunks).select("__other", "__most", "__c.*")
+    other = all_chunks.select("__other", "__most", "__d", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__part"))
     met = probe.join(other, ["__d", "__part"]).where((F.col("__id") != F.col("__other")) & (F.col("__most") >= F.lit(min_containment) * F.col("__least")))
     candidates = met.select("__id", "__other").distinct()
-    both = candidates.join(of_class.select("__id", "__least", "__d", "__w"), "__id").join(of_class.select(F.col("__id").alias("__other"), "__d"), ["__other", "__d"])
+    both = candidates.join(of_class.select("__id", "__least", "__chunks"), "__id").select("__id", "__other", "__least", chunks).select("__id", "__other", "__least", "__c.__d", "__c.__w")
+    both = both.join(all_chunks.select("__other", "__d"), ["__other", "__d"])
     links = both.groupBy("__id", "__other").agg(F.sum("__w").alias("__shared"), F.first("__least").alias("__least"))
     within = classes.where("__n > 1").select(F.col("__class").alias("__id"), F.col("__class").alias("__other"), F.col("__s").alias("__shared"), "__least")
     links = links.unionByName(within).where(F.col("__shared") >= F.lit(min_containment) * F.col("__least"))
