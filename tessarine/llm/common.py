@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,21 @@ def cut(df: DataFrame, *replaced: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are deleted when the query ends, not when the driver happens to collect its garbage.
+
+    For what :func:`cut` writes: nothing reads the shuffles before it again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

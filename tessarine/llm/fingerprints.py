@@ -16,10 +16,14 @@ one class, whatever else they hold, so copies are one class and so are texts tha
 nothing but a passage in common. A chunk set decides what two documents share, so a link
 between two classes is one between all of their members, see :func:`containment`.
 
-A class's chunks are put in the order of how many documents hold them; a class that
-contains it must hold one of the first few, whose weight with that of unshared chunks just
-exceeds ``1 - min_containment``. So candidates meet by rare chunks. How many documents hold
-a chunk is aggregated and joined back; no task gets all rows of a chunk.
+Classes are packed into blocks of :data:`PART` chunks, and every block of texts that can
+be contained meets every block of classes in a task of a Cartesian product, which reads
+the blocks anew and shuffles nothing. There the weights of equal digests are added up, so
+candidate pairs never leave their task: what leaves it is a count for each length of a
+class's members, see :func:`links`, or the links, see :func:`containment`. The work is the
+number of pairs of classes by the chunks that they share, which a chunk that a fixed part
+of all documents hold makes quadratic. How many documents hold a chunk is aggregated and
+joined back; no task gets all rows of a chunk.
 
 Defined results
 ---------------
@@ -44,11 +48,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, named, type_of
+from .common import cut, lookup, named, shuffles_dropped, type_of
 
 WINDOW_DOUBLINGS = 5
-#: Members of a chunk that one task joins, and the bits that a chunk's length has beside its document's.
-PART, LENGTH_BITS = 50_000, 24
+#: Chunks of a block, of which one task joins two, and the bits that a chunk's length has beside its document's.
+PART, LENGTH_BITS = 1_000_000, 24
+#: Equal chunks of two blocks that are added up at once, or those of one class where they are more.
+ENTRIES = 500_000
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -129,6 +135,146 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return each.select(F.col("__id").alias(id_col), F.col("__d").alias(digest), F.col("__w").cast("int").alias(size))
 
 
+def _block(rows: list[tuple], source: bool) -> dict:
+    """Classes as arrays: their numbers, and (source) the lengths of their members, or else how many those are; their chunks by class, or by digest."""
+    numbers, members, sizes, digests, weights = zip(*rows)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(d) for d in digests])
+    digest = np.concatenate(digests).astype(np.int64)
+    if source:
+        n, k, extra = np.concatenate(sizes).astype(np.int64), np.array([len(x) for x in sizes], dtype=np.int32), np.concatenate(weights).astype(np.int64)
+    else:
+        n, k = np.array(members, dtype=np.int64), np.empty(0, dtype=np.int32)
+        order = np.argsort(digest, kind="stable")
+        of = of[order]
+        digest, first = np.unique(digest[order], return_index=True)
+        extra = np.append(first, len(of)).astype(np.int64)
+    return {"source": source, "no": np.array(numbers, dtype=np.int64).tobytes(), "n": n.tobytes(), "k": k.tobytes(), "d": digest.tobytes(), "c": of.tobytes(), "x": extra.tobytes()}
+
+
+_BLOCK = "source boolean, no binary, n binary, k binary, d binary, c binary, x binary"
+
+
+def _shared(left: dict, right: dict, min_containment: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(source, class, shared weight), by source, of two blocks' pairs that reach the containment for the shortest member; a class does not meet itself."""
+    shortest = left["n"][np.cumsum(left["k"]) - left["k"]]
+    at = np.minimum(np.searchsorted(right["d"], left["d"]), len(right["d"]) - 1)
+    hit = right["d"][at] == left["d"]
+    at, source, weight = at[hit], left["c"][hit], left["x"][hit]
+    if not len(at):
+        return
+    begin, times = right["x"][at], right["x"][at + 1] - right["x"][at]
+    wide = len(right["no"])
+    ends = np.append(np.flatnonzero(np.diff(source)) + 1, len(source))  # of each source's hits
+    entries = np.cumsum(times)[ends - 1]
+    k = lo = done = 0
+    while k < len(ends):
+        k = max(int(np.searchsorted(entries, done + most, "right")), k + 1)
+        done, hi = entries[k - 1], int(ends[k - 1])
+        t, low = times[lo:hi], int(source[lo])
+        place = np.repeat(begin[lo:hi] - (np.cumsum(t) - t), t) + np.arange(int(t.sum()))
+        key = np.repeat(source[lo:hi].astype(np.int64) - low, t) * wide + right["c"][place]
+        w = np.repeat(weight[lo:hi], t)
+        cells = (int(source[hi - 1]) - low + 1) * wide
+        if cells <= 8 * len(key):
+            total = np.bincount(key, weights=w, minlength=cells)
+            key = np.flatnonzero(total)
+            total = total[key].astype(np.int64)
+        else:
+            both = np.sort(key << LENGTH_BITS | w)
+            key = both >> LENGTH_BITS
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            key, total = key[first], np.add.reduceat(both & ((1 << LENGTH_BITS) - 1), first)
+        a, b = key // wide + low, key % wide
+        keep = (total >= min_containment * shortest[a]) & (left["no"][a] != right["no"][b])
+        yield a[keep], b[keep], total[keep]
+        lo = hi
+
+
+class _Classes:
+    """The classes of the documents, what they are joined with, and how they meet."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, min_containment: float, minimum: int, normal: int, maximum: int) -> None:
+        self.min_containment = min_containment
+        with shuffles_dropped(docs.sparkSession):
+            rows = _chunks(docs.where(F.col(id_col).isNotNull()), id_col, text_col, minimum, normal, maximum)
+            if not docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).count().where("count > 1").isEmpty():
+                rows = rows.select("__id", "__d", "__w").distinct()
+                rows = cut(rows.join(rows.groupBy("__id").agg(F.sum("__w").alias("__t")), "__id"))
+            packed = rows.select("__id", "__d", F.shiftleft("__t", LENGTH_BITS).bitwiseOR(F.col("__w")).alias("__tw"))
+            held = cut(packed.groupBy("__d").agg(F.count("*").alias("__n")).where("__n > 1"))
+            weight, whole = F.col("__tw").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)), F.shiftright("__tw", LENGTH_BITS)
+            chunk = F.struct("__d", weight.cast("int").alias("__w"))
+            each = lookup(packed, held, ["__d"]).groupBy("__id").agg(F.sort_array(F.collect_list(chunk)).alias("__chunks"), F.sum(weight).alias("__s"), F.max(whole).alias("__t"))
+
+            sets = ["__h", "__g", "__k", "__s"]  # a digest of 128 bits, the number and the weight of the shared chunks
+            digests = F.col("__chunks.__d")
+            each = cut(each.select("*", F.xxhash64(digests).alias("__h"), F.xxhash64(F.lit(1), digests).alias("__g"), F.size("__chunks").alias("__k")), held)
+            classes = each.groupBy(*sets).agg(F.count("*").alias("__n"), F.min("__id").alias("__class"), F.sort_array(F.collect_set("__t")).alias("__sizes"))
+            self.classes = cut(classes.withColumn("__no", F.monotonically_increasing_id()))
+            self.members = lookup(each.select("__id", "__t", *sets), self.classes.select(*sets, "__n", "__class", "__no"), sets)
+            heads = self.classes.select(F.col("__class").alias("__id"), "__no", "__n", "__sizes", "__s")
+            of_class = each.select("__id", digests.alias("__d"), F.col("__chunks.__w").alias("__w")).join(heads, "__id")
+
+            def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                open_, chunks = {False: [], True: []}, {False: 0, True: 0}
+                for batch in batches:
+                    for no, n, sizes, digest, weights, s in zip(*(batch[c] for c in ("__no", "__n", "__sizes", "__d", "__w", "__s"))):
+                        for source in (False, True):
+                            if not source or s >= min_containment * sizes[0]:
+                                open_[source].append((no, n, sizes, digest, weights))
+                                chunks[source] += len(digest)
+                                if chunks[source] >= (max(1, part // 4) if source else part):
+                                    yield pd.DataFrame([_block(open_[source], source)])
+                                    open_[source], chunks[source] = [], 0
+                for source in (False, True):
+                    if open_[source]:
+                        yield pd.DataFrame([_block(open_[source], source)])
+
+            part = PART
+            self.blocks = cut(of_class.mapInPandas(pack, _BLOCK))
+
+    def met(self, counted: bool) -> DataFrame:
+        """(__no, __other, __shared): the links, or (__no, __t, __links): how many documents of other classes contain a member of __t bytes, in parts to be added."""
+        min_containment, most = self.min_containment, ENTRIES
+        types = {"no": np.int64, "n": np.int64, "k": np.int32, "d": np.int64, "c": np.int32, "x": np.int64}
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    left, right = ({c: np.frombuffer(row[side + c], dtype=t) for c, t in types.items()} for side in ("l_", "r_"))
+                    ends = np.cumsum(left["k"])
+                    for a, b, shared in _shared(left, right, min_containment, most):
+                        if not counted:
+                            yield pd.DataFrame({"__no": left["no"][a], "__other": right["no"][b], "__shared": shared})
+                            continue
+                        order = np.lexsort((shared, a))
+                        a, b, shared = a[order], b[order], shared[order]
+                        sources, first = np.unique(a, return_index=True)
+                        out = []
+                        for i, lo, hi in zip(sources.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
+                            sizes = left["n"][ends[i] - left["k"][i] : ends[i]]
+                            beyond = np.append(np.cumsum(right["n"][b[lo:hi]][::-1])[::-1], 0)
+                            out.append((i, sizes, beyond[np.searchsorted(shared[lo:hi], min_containment * sizes)]))
+                        if out:
+                            no = np.repeat(left["no"][[i for i, _, _ in out]], [len(s) for _, s, _ in out])
+                            yield pd.DataFrame({"__no": no, "__t": np.concatenate([s for _, s, _ in out]), "__links": np.concatenate([n for _, _, n in out])})
+
+        side = lambda source, p: self.blocks.where(F.col("source") == source).select(*(F.col(c).alias(p + c) for c in types))
+        both = side(True, "l_").hint("shuffle_replicate_nl").crossJoin(side(False, "r_"))
+        return both.mapInPandas(meet, "__no long, __t long, __links long" if counted else "__no long, __other long, __shared long")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.5, minimum: int = 128, normal: int = 512, maximum: int = 2048) -> DataFrame:
+    """(id, class_id, n_bytes, n_links): each document that shares a chunk, its class, the length of its chunks, and how many other documents contain it, copies among them."""
+    found = _Classes(docs, id_col, text_col, min_containment, minimum, normal, maximum)
+    with shuffles_dropped(docs.sparkSession):
+        counts = cut(found.met(True).groupBy("__no", "__t").agg(F.sum("__links").alias("__links")).where("__links > 0"))
+    own = F.when(F.col("__s") >= F.lit(min_containment) * F.col("__t"), F.col("__n") - 1).otherwise(0)
+    told = found.members.join(counts, ["__no", "__t"], "left")
+    columns = named(id_col, ("class_id", "n_bytes", "n_links"))
+    return told.select("__id", "__class", "__t", own + F.coalesce("__links", F.lit(0))).toDF(id_col, *columns)
+
+
 def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.5, minimum: int = 128, normal: int = 512, maximum: int = 2048) -> DataFrame:
     """(id, class_id, n_bytes, contained_in, shared_bytes, containment): the classes' members and the links between classes.
 
@@ -140,41 +286,13 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of contained_in. containment is that part for the shortest member, the largest. A class
     is linked to itself if it has several members.
     """
-    rows = _chunks(docs.where(F.col(id_col).isNotNull()), id_col, text_col, minimum, normal, maximum)
-    if not docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).count().where("count > 1").isEmpty():
-        rows = rows.select("__id", "__d", "__w").distinct()
-        rows = cut(rows.join(rows.groupBy("__id").agg(F.sum("__w").alias("__t")), "__id"))
-    packed = rows.select("__id", "__d", F.shiftleft("__t", LENGTH_BITS).bitwiseOR(F.col("__w")).alias("__tw"))
-    held = cut(packed.groupBy("__d").agg(F.count("*").alias("__n")).where("__n > 1"))
-    weight, whole = F.col("__tw").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)), F.shiftright("__tw", LENGTH_BITS)
-    chunk = F.struct("__n", "__d", weight.alias("__w"))
-    each = lookup(packed, held, ["__d"]).groupBy("__id").agg(F.sort_array(F.collect_list(chunk)).alias("__chunks"), F.sum(weight).alias("__s"), F.max(whole).alias("__t"))
-
-    sets = ["__h", "__g", "__k", "__s"]  # a digest of 128 bits, the number and the weight of the shared chunks
-    digests, chunks = F.col("__chunks.__d"), F.explode("__chunks").alias("__c")
-    each = cut(each.select("*", F.xxhash64(digests).alias("__h"), F.xxhash64(F.lit(1), digests).alias("__g"), F.size("__chunks").alias("__k")), held)
-    classes = cut(each.groupBy(*sets).agg(F.count("*").alias("__n"), F.min("__id").alias("__class"), F.min("__t").alias("__least")))
-    members = lookup(each.select("__id", "__t", *sets), classes.select(*sets, "__n", "__class"), sets)
-
-    heads = classes.select(F.col("__class").alias("__id"), "__least", "__s")
-    of_class = cut(each.select("__id", "__chunks").join(heads, "__id"))
-
-    @F.pandas_udf("int")
-    def few(weights: pd.Series, least: pd.Series, held_weight: pd.Series) -> pd.Series:
-        return pd.Series([int(((n - s + np.cumsum(w) - w) <= (1 - min_containment) * n).sum()) for w, n, s in zip(weights, least, held_weight)], dtype="int32")
-
-    first_few = of_class.select("__id", "__least", F.slice("__chunks", 1, few(F.col("__chunks.__w"), "__least", "__s")).alias("__chunks")).select("__id", "__least", chunks).select("__id", "__least", "__c.__d", "__c.__n")
-    parts = F.ceil(F.col("__n") / PART)
-    probe = first_few.select("__id", "__least", "__d", F.pmod(F.xxhash64("__id"), parts).alias("__part"))
-    all_chunks = of_class.select(F.col("__id").alias("__other"), F.col("__s").alias("__most"), chunks).select("__other", "__most", "__c.*")
-    other = all_chunks.select("__other", "__most", "__d", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__part"))
-    met = probe.join(other, ["__d", "__part"]).where((F.col("__id") != F.col("__other")) & (F.col("__most") >= F.lit(min_containment) * F.col("__least")))
-    candidates = met.select("__id", "__other").distinct()
-    both = candidates.join(of_class.select("__id", "__least", "__chunks"), "__id").select("__id", "__other", "__least", chunks).select("__id", "__other", "__least", "__c.__d", "__c.__w")
-    both = both.join(all_chunks.select("__other", "__d"), ["__other", "__d"])
-    links = both.groupBy("__id", "__other").agg(F.sum("__w").alias("__shared"), F.first("__least").alias("__least"))
-    within = classes.where("__n > 1").select(F.col("__class").alias("__id"), F.col("__class").alias("__other"), F.col("__s").alias("__shared"), "__least")
-    links = links.unionByName(within).where(F.col("__shared") >= F.lit(min_containment) * F.col("__least"))
+    found = _Classes(docs, id_col, text_col, min_containment, minimum, normal, maximum)
+    classes, members, least = found.classes, found.members, F.col("__sizes")[0].alias("__least")
+    one = classes.select("__no", F.col("__class").alias("__id"), least)
+    other = classes.select(F.col("__no").alias("__other"), F.col("__class").alias("__held"))
+    linked = found.met(False).join(one, "__no").join(other, "__other").select("__id", F.col("__held").alias("__other"), "__shared", "__least")
+    within = classes.where("__n > 1").select(F.col("__class").alias("__id"), F.col("__class").alias("__other"), F.col("__s").alias("__shared"), least)
+    links = linked.unionByName(within.where(F.col("__shared") >= F.lit(min_containment) * F.col("__least")))
 
     kind = type_of(docs, id_col)
     columns = named(id_col, ("class_id", "n_bytes", "contained_in", "shared_bytes", "containment"))

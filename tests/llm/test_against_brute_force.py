@@ -182,6 +182,43 @@ def test_a_passage_that_many_hold_makes_few_classes(spark, monkeypatch):
     assert sorted(map(str, fingerprints.containment(df, **queries.CONTAINMENT).collect())) == sorted(map(str, rows))
 
 
+def test_links_are_counted_as_they_are_listed(spark, monkeypatch):
+    """Short texts within long ones, copies, a class whose members differ in length, and blocks of any size: every document's count is that of brute force."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrst", k=rnd.randint(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passages = [some(k) for k in (30, 60, 90)]
+    texts = {i: some(rnd.choice([0, 10, 40, 150])) + " " + " ".join(rnd.sample(passages, rnd.choice([1, 1, 2]))) + " " + some(rnd.choice([0, 20])) for i in range(90)}
+    texts |= {200 + i: p for i, p in enumerate(passages)} | {300 + i: texts[i % 3] for i in range(9)} | {400: some(50)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs = all_contained(texts, 0.2, 8, 32, 128)
+    want = {i: sum(a == i for a, _ in pairs) for i in texts}
+    for part, most in ((fingerprints.PART, fingerprints.ENTRIES), (300, 50)):
+        monkeypatch.setattr(fingerprints, "PART", part)
+        monkeypatch.setattr(fingerprints, "ENTRIES", most)
+        rows = fingerprints.links(df, **queries.CONTAINMENT).collect()
+        got = {r["doc_id"]: r["n_links"] for r in rows}
+        assert len(rows) == len(got) and 400 not in got and all(want[i] == got.get(i, 0) for i in texts)
+        members = fingerprints.containment(df, **queries.CONTAINMENT).where("contained_in is null").collect()
+        assert sorted(r[:3] for r in members) == sorted(r[:3] for r in rows)
+    assert len({r["n_bytes"] for r in rows if r["n_links"] > 0}) > 50 and sum(want.values()) > 10 * len(texts)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What is written and cut leaves no shuffle file behind, though the driver has not collected its garbage; other queries are as they were."""
+    docs = spark.createDataFrame([(i, f"one text that many hold, and its number {i % 7}") for i in range(400)], "doc_id long, text string")
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(key)
+    with common.shuffles_dropped(spark):
+        common.cut(docs.repartition(5, "doc_id"))
+    assert spark.conf.get(key) == setting
+    until = time.time() + 10  # the files are deleted in the background
+    while held() > before and time.time() < until:
+        time.sleep(0.1)
+    assert held() <= before
+
+
 def test_scattered_edits_are_found(spark, tmp_path):
     """The query's recall on near copies with a word changed about every 160 bytes."""
     rnd = random.Random(12)
@@ -193,8 +230,10 @@ def test_scattered_edits_are_found(spark, tmp_path):
         texts[2 * g + 1] = " ".join(rnd.choice(words) if rnd.random() < 1 / 25 else w for w in base)
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
-    pairs = expanded(queries.op2_fingerprints(spark, str(tmp_path)).collect(), 0.2)
+    pairs = expanded(fingerprints.containment(df, **queries.CONTAINMENT).collect(), 0.2)
     assert pairs == all_contained(texts, 0.2, 8, 32, 128)
+    counted = {r["doc_id"]: r["n_links"] for r in queries.op2_fingerprints(spark, str(tmp_path)).collect()}
+    assert all(counted.get(i, 0) == sum(a == i for a, _ in pairs) for i in texts)
     got = {tuple(sorted(p)) for p in pairs}
     want = {(2 * g, 2 * g + 1) for g in range(60)}
     assert len(got & want) >= 0.9 * 60 and len(got - want) <= 1
