@@ -64,9 +64,15 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 
     For what :func:`cut` writes: nothing reads the shuffles before it again.
     """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within it, queries run with this setting of the session."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:

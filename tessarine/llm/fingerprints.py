@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, named, shuffles_dropped, type_of
+from .common import cut, lookup, named, setting, shuffles_dropped, type_of
 
 WINDOW_DOUBLINGS = 5
 #: Chunks of a block, of which one task joins two, and the bits that a chunk's length has beside its document's.
@@ -267,7 +267,8 @@ class _Classes:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_containment: float = 0.5, minimum: int = 128, normal: int = 512, maximum: int = 2048) -> DataFrame:
     """(id, class_id, n_bytes, n_links): each document that shares a chunk, its class, the length of its chunks, and how many other documents contain it, copies among them."""
     found = _Classes(docs, id_col, text_col, min_containment, minimum, normal, maximum)
-    with shuffles_dropped(docs.sparkSession):
+    one_by_one = setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is two blocks
+    with shuffles_dropped(docs.sparkSession), one_by_one:
         counts = cut(found.met(True).groupBy("__no", "__t").agg(F.sum("__links").alias("__links")).where("__links > 0"))
     own = F.when(F.col("__s") >= F.lit(min_containment) * F.col("__t"), F.col("__n") - 1).otherwise(0)
     told = found.members.join(counts, ["__no", "__t"], "left")
