@@ -22,6 +22,7 @@ from ..functions.text import tokens, tokens_of
 K1, B = 1.2, 0.75
 MOST_TERMS, MOST_SPARSE = 32, 256
 SEISMIC_CUT = 512
+FILE_TOKENS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -43,13 +44,39 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return terms.groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf")).select("term", "id", "tf", "dl")
 
 
-def build_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text", buckets: int = 64) -> None:
-    """Write postings by hash of the term, sorted by term within files, and the corpus totals."""
-    out = postings(docs, id_col, text_col).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    out.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+def _counts(toks: Column) -> Column:
+    """The terms of an array of tokens, ordered, as an array of (term, tf): the runs of the sorted tokens. Null for null.
+
+    A lambda over an array of one item gives it a name: the sorted tokens and the starts of their runs are made once.
+    """
+
+    def named(item: Column, use) -> Column:
+        return F.transform(F.array(item), use)[0]
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda t, i: F.when(~t.eqNullSafe(F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return named(starts, lambda p: F.transform(p, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(s)) - at).alias("tf"))))
+
+    return named(F.sort_array(toks), runs)
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text", buckets: int = 64, file_tokens: int = FILE_TOKENS) -> None:
+    """Write postings by hash of the term, sorted by term within files, and the corpus totals.
+
+    A bucket is cut by hash of the id into as many files as keep the mean of tokens in a file
+    below ``file_tokens``: a task sorts one file, so its memory doesn't grow with the corpus.
+    """
     length = F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0))
     totals = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(length, F.lit(0))), F.lit(0)).alias("total_length"), F.lit(buckets).alias("buckets"))
     totals.write.mode("overwrite").parquet(f"{path}/totals")
+    cuts = max(1, math.ceil(docs.sparkSession.read.parquet(f"{path}/totals").first()["total_length"] / (buckets * file_tokens)))
+    once = docs.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(F.col(text_col)))).alias("t"))
+    each = once.select("id", F.size("t").alias("dl"), F.explode(_counts(F.col("t"))).alias("p")).select("p.term", "id", "p.tf", "dl")
+    file = bucket_of(F.col("term"), buckets) * cuts + F.pmod(F.xxhash64("id"), F.lit(cuts)).cast("int")
+    # all rows of a term and an id are in one file, so those of repeated ids are added up there
+    out = each.withColumn("file", file).repartitionById(buckets * cuts, "file").groupBy("file", "term", "id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
+    out = out.select("term", "id", "tf", "dl", F.floor(F.col("file") / cuts).cast("int").alias("bucket"))
+    out.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:

@@ -44,6 +44,18 @@ def test_bm25_is_brute_force(corpus, query, spark, tmp_path):
     assert indexed.keys() == want.keys() and all(abs(indexed[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_index_files_keep_their_size(corpus, spark, tmp_path):
+    rows, df = corpus
+    df = df.unionByName(df.where("id < 5"))  # rows of one id and text are one posting
+    lexical.build_index(df, str(tmp_path), buckets=2, file_tokens=100)
+    written = spark.read.parquet(f"{tmp_path}/postings")
+    assert sorted(map(tuple, written.select("term", "id", "tf", "dl").collect())) == sorted(map(tuple, lexical.postings(df).collect()))
+    files = Counter(r[0] for r in written.select(F.input_file_name()).collect())
+    tokens_in_all = sum(len(tokens_of(t)) for _, t in rows)
+    assert len(files) > tokens_in_all / 200 and max(files.values()) < 300 < written.count() / 2
+    assert written.where(lexical.bucket_of(F.col("term"), 2) != F.col("bucket")).count() == 0
+
+
 def test_terms_beyond_the_cap(corpus):
     _, df = corpus
     query = " ".join(f"w{i}" for i in range(60))
