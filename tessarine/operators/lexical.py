@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,15 +190,12 @@ def expanded_query(docs: DataFrame, query: str, id_col: str = "id", text_col: st
 
 def sparse_weights(text: Column) -> Column:
     """A map from each token to its count as a float: weights where a model gives none. Null for null."""
+    return F.map_from_entries(F.transform(_counts(tokens(text)), lambda c: F.struct(c["term"], c["tf"].cast("float"))))
 
-    @F.pandas_udf("struct<k:array<string>,v:array<float>>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [Counter(tokens_of(t)) for t in texts]
-            yield pd.DataFrame({"k": [list(c) for c in found], "v": [list(map(float, c.values())) for c in found]})
 
-    counted = count(text)
-    return F.when(text.isNotNull(), F.map_from_arrays(counted["k"], counted["v"]))
+def with_sparse_weights(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id_col, sparse): the maps of :func:`sparse_weights`, made once for each row behind a generator, as in :func:`_hits`."""
+    return docs.select(F.col(id_col), F.explode(F.array(sparse_weights(F.col(text_col)))).alias("sparse"))
 
 
 def _query_map(weights: dict[str, float]) -> dict[str, float]:

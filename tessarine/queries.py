@@ -291,7 +291,7 @@ _TF = f"e as (select doc_id, term, count(*)::double as w from (select doc_id, un
 
 
 def _sparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", lexical.sparse_weights(F.col("text")).alias("sparse"))
+    return lexical.with_sparse_weights(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query(f"with {_TF} select doc_id, round(sum(w * qw), 6) as score from e join q using (term) group by 1")

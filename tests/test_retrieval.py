@@ -79,6 +79,21 @@ def test_sparse(spark):
     assert lexical.splade(df, {}).count() == 0 and lexical.seismic(df, {}).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sparse_weights_without_python(corpus):
+    rows, df = corpus
+    sparse = lexical.with_sparse_weights(df)
+    assert {r[0]: r[1] for r in sparse.collect()} == {i: None if t is None else Counter(tokens_of(t)) for i, t in rows}
+    q = {"w0": 2.0, "w3": 0.5, "ក": 4.0}
+    want = {i: sum(q[w] * c for w, c in Counter(tokens_of(t)).items() if w in q) for i, t in rows}
+    scored = lexical.splade(sparse, q)
+    assert {r[0]: r[1] for r in scored.collect()} == {i: s for i, s in want.items() if s}
+    assert "UDF" not in plan_of(scored) and plan_of(scored).count("regexp_extract_all") == 1  # the tokens are made once
+
+
 def test_dense(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 20)).astype("float32")
