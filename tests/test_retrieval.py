@@ -94,6 +94,18 @@ def test_sparse_weights_without_python(corpus):
     assert "UDF" not in plan_of(scored) and plan_of(scored).count("regexp_extract_all") == 1  # the tokens are made once
 
 
+def test_seismic_without_python(corpus):
+    rows, df = corpus
+    q, cut, want = {"w0": 2.0, "w3": 0.5}, 7, Counter()
+    for w, weight in q.items():
+        entries = sorted((-Counter(tokens_of(t))[w], i) for i, t in rows if w in tokens_of(t))
+        for c, i in entries[:cut]:
+            want[i] -= weight * c
+    scored = lexical.seismic(lexical.with_sparse_weights(df), q, cut=cut)
+    assert {r[0]: r[1] for r in scored.collect()} == want
+    assert "UDF" not in plan_of(scored) and plan_of(scored).count("regexp_extract_all") == 1
+
+
 def test_dense(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 20)).astype("float32")
